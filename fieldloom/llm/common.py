@@ -8,6 +8,8 @@ import types
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Cut a text into pieces within which no match of the byte-level pre-token
 #: pattern crosses an edge: a word with its one leading space, or blank runs.
@@ -27,21 +29,33 @@ def per_process(key: str, make: Callable[[], object]) -> object:
 
 
 class Memo(dict):
-    """A dict that forgets all when it would pass its bound; only speed depends on it."""
+    """A dict of bounded size that keeps what was used of late; only speed depends on it.
 
-    def __init__(self, bound: int = 500_000):
+    When half the bound is reached, the entries become the old half and those
+    that are asked for again move back; what is not asked for goes with the next
+    turn.
+    """
+
+    def __init__(self, bound: int = 800_000):
         super().__init__()
-        self.bound = bound
+        self.half, self.old = bound // 2, {}
 
     def learn(self, keys: Iterable, values: Callable[[list], Iterable]) -> None:
         """Fill in what is missing of keys, by values(missing keys)."""
         missing = [k for k in keys if k not in self]
-        if missing:
-            if len(self) + len(missing) > self.bound:
-                keep = {k: self[k] for k in keys if k in self}
-                self.clear()
-                self.update(keep)
-            self.update(zip(missing, values(missing), strict=True))
+        if len(self) + len(missing) > self.half:
+            self.old = dict(self)
+            self.clear()
+            missing = list(keys)
+        old = self.old
+        new = []
+        for k in missing:
+            if k in old:
+                self[k] = old[k]
+            else:
+                new.append(k)
+        if new:
+            self.update(zip(new, values(new), strict=True))
 
 
 def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -62,3 +76,15 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 
 def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
+
+
+def matching_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs whose id and text's SHA-256 are in stay (__stay_id, __stay_text); one of rows that share both."""
+    repeated = not docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    rows = docs.withColumn("__stay_text", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
+    rows = rows.withColumn("__stay_id", F.col(id_col).cast("long"))
+    both = [rows[c].eqNullSafe(stay[c]) for c in ("__stay_id", "__stay_text")]
+    found = rows.join(stay, both, "left_semi")
+    if repeated:
+        found = found.dropDuplicates(["__stay_id", "__stay_text"])
+    return found.select(*docs.columns)

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm import common
 from fieldloom.session import Workspace
 
 FIRST_DIGIT = 64
@@ -82,12 +83,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows come back by their doc_id; rows of one doc_id and one text count as
     copies of each other, and one of them stays.
     """
-    columns = docs.columns
-    stay = radix_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_text"))
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    rows = docs.join(stay, docs[id_col].eqNullSafe(F.col("__stay_id")) & (sha == F.col("__stay_text")), "left_semi")
-    return rows.dropDuplicates([id_col, text_col]).select(*columns) if _repeats(docs, id_col) else rows.select(*columns)
-
-
-def _repeats(docs: DataFrame, id_col: str) -> bool:
-    return not docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    stay = radix_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stay_id"), F.unhex("text_sha256").alias("__stay_text"))
+    return common.matching_rows(docs, stay, id_col, text_col)

@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm.language_id import fit_language_model, holdout, predict_language
+from fieldloom.llm.lm_score import score_documents
 from fieldloom.llm.mixing import pareto_mix
+from fieldloom.llm.near_dedup import near_classes
 from fieldloom.llm.piece_model import bpe_round_trip
 from fieldloom.llm.radix_dedup import radix_groups
 from fieldloom.llm.sharding import shard_documents
@@ -18,6 +21,8 @@ from fieldloom.session import Workspace, read_table
 #: Fixed values of the query contracts.
 BYTE_BPE, BYTE_BPE_IDS, END_ID = "byte_bpe_50k.json", 50_257, 2
 RANKS = "byte_bpe_multi_50k.tiktoken"
+LM_FOLDS, LANG_FOLDS, LANG_HELD = 10, 4, 2
+PIECES = "piece_bpe_32k.model"
 WORD_BPE, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 MIX = {"weights": [3, 1, 2], "share": 1.5, "most": 2.0, "seed": "mix"}
 SHARDS = 16
@@ -40,6 +45,10 @@ def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"), holdout("doc_id", LM_FOLDS) == 0)
+
+
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(read_table(spark, sf_dir, "documents"), **MIX).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,6 +58,17 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (holdout("doc_id", LANG_FOLDS) == LANG_HELD).alias("held_out"))
+    path = public_tokenizers.path(PIECES)
+    model = fit_language_model(docs.where("NOT held_out"), path)
+    return predict_language(docs, model, path, keep=["held_out"])
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), TOKEN_LIMIT)
 
@@ -60,7 +80,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_file, op2_radix_dedup, op3_piece_codec, op5_pareto_mix, op6_histogram_shards, op9_token_counts, op10_exact_topk)
+    for f in (op1_token_file, op2_radix_dedup, op3_piece_codec, op4_lm_score, op5_pareto_mix, op6_histogram_shards, op7_near_classes, op8_language_id, op9_token_counts, op10_exact_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {
