@@ -215,6 +215,31 @@ def _expected_counts(words: DataFrame, model_path: str, langs: list[str], log_pr
     return out
 
 
+def _predictor(docs: DataFrame, model: dict, model_path: str):
+    """A function from texts to (language, posterior) pairs, for Python workers."""
+    langs, prior = list(model["langs"]), np.asarray(model["log_prior"])
+    # pieces x languages numbers, so its size does not grow with the data
+    sent = docs.sparkSession.sparkContext.broadcast(np.asarray(model["log_probs"], np.float32))
+    name = f"scorer:{uuid.uuid4()}"
+
+    def predict(texts: list[str | None]) -> list[tuple[str, float]]:
+        if not langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        scorer = common.per_process(name, lambda: Scorer(common.per_process(f"pieces:{model_path}", lambda: Pieces(model_path)), sent.value.astype(float)))
+        texts, out = ["" if t is None else t for t in texts], []
+        for a, b in common.slices(texts):
+            for x in scorer.score(texts[a:b]):
+                if x is None:
+                    out.append((UNKNOWN, 0.0))
+                else:
+                    x = x + prior
+                    best = int(x.argmax())
+                    out.append((langs[best], float(1.0 / np.exp(x - x[best]).sum())))
+        return out
+
+    return predict
+
+
 def predict_language(docs: DataFrame, model: dict, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row: doc_id, the ``keep`` columns, lang_pred, score.
 
@@ -223,34 +248,28 @@ def predict_language(docs: DataFrame, model: dict, model_path: str, id_col: str
     nothing was learned. The whole text counts. Repeated rows give repeated
     results; an empty table gives none.
     """
-    langs, prior = list(model["langs"]), np.asarray(model["log_prior"])
-    sent = docs.sparkSession.sparkContext.broadcast(np.asarray(model["log_probs"], np.float32))  # pieces x languages
-    name = f"scorer:{uuid.uuid4()}"
+    predict = _predictor(docs, model, model_path)
+    rows = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("doc_id"), *(keep or []))
 
-    def predict(batches):
-        make = lambda: Scorer(common.per_process(f"pieces:{model_path}", lambda: Pieces(model_path)), sent.value.astype(float))
-        scorer = common.per_process(name, make) if langs else None
+    def run(batches):
         for batch in batches:
-            texts = ["" if t is None else t for t in common.column(batch, "__text")]
-            found: list[np.ndarray | None] = []
-            for a, b in common.slices(texts):
-                found += scorer.score(texts[a:b]) if langs else [None] * (b - a)
-            names, scores = [], []
-            for x in found:
-                if x is None:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
-                    x = x + prior
-                    best = int(x.argmax())
-                    names.append(langs[best])
-                    scores.append(float(1.0 / np.exp(x - x[best]).sum()))
-            kept = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names), pa.array(scores, pa.float64())], names=[*(n for n in batch.schema.names if n != "__text"), "lang_pred", "score"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), *(keep or []), F.col(text_col).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
-    return rows.mapInArrow(predict, ", ".join([*fields, "lang_pred string", "score double"]))
+            found = predict(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]]
+    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+
+
+def accept_known_language(docs: DataFrame, model: dict, model_path: str, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is known with a posterior of ``least_score`` or more, all columns as they are."""
+    predict, place = _predictor(docs, model, model_path), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            found = predict(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def holdout(id_col: str, every: int) -> Column:
