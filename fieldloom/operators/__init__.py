@@ -1 +1 @@
-
+"""DataFrame-to-DataFrame operators, lazily composed."""
