@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.functions.names import col
 
@@ -55,7 +56,7 @@ def repair_records(raw: str | None) -> list[str]:
     return [json.dumps(x, ensure_ascii=False, sort_keys=True) for p in pieces if p for x in p]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _repair(raw: pd.Series) -> pd.Series:
     return raw.map(repair_records)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import coords, places, text
 from fieldloom.functions.names import blank, squeeze
 from fieldloom.operators import similarity
+from fieldloom.session import Workspace
 
 
 def fill_blanks(df: DataFrame, reference: DataFrame, on: list[str], fields: list[str]) -> DataFrame:
@@ -89,7 +90,7 @@ def place_index(table: DataFrame, order: list[str]) -> DataFrame:
 def match_places(queries: DataFrame, query: str, index: DataFrame, fuzzy: float = 80.0, fuzzy_short: float = 92.0) -> DataFrame:
     """One row per distinct query: place, codes and coordinates, match_type and score; nulls if nothing matches.
 
-    Stages, each over what the one before missed: exact (100), canonical (95),
+    Each stage is written, so that it runs once, over what the one before missed: exact (100), canonical (95),
     fuzzy on canonical keys (its score; keys of up to four letters must be more
     alike), phonetic (75), postal code in the query (90).
     """
@@ -98,12 +99,14 @@ def match_places(queries: DataFrame, query: str, index: DataFrame, fuzzy: float
     by_canon = one("canon_key")
     left = queries.select(F.col(query).alias("query")).where("query IS NOT NULL").distinct()
     left = left.withColumns({"norm_key": places.normal_place("query"), "canon_key": places.canonical_place("query"), "sound_key": places.phonetic_place("query")})
-    parts = []
+    work = Workspace(queries.sparkSession, "places")
+    left, parts = work.save(left, "asked"), []
 
     def stage(name: str, hits: DataFrame):
         nonlocal left
-        parts.append(hits.select("query", "hit.*", F.lit(name).alias("match_type"), "score"))
-        left = left.join(hits.select("query"), "query", "left_anti")
+        hits = work.save(hits.select("query", "hit.*", F.lit(name).alias("match_type"), "score"), name)
+        parts.append(hits)
+        left = work.save(left.join(hits.select("query"), "query", "left_anti"), f"after_{name}")
 
     stage("exact", left.join(one("norm_key"), "norm_key").withColumn("score", F.lit(100.0)))
     stage("canonical", left.join(by_canon, "canon_key").withColumn("score", F.lit(95.0)))

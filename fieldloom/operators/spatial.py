@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.functions import coords
 
@@ -25,7 +26,7 @@ def ring_contains(lat: float, lon: float, ring) -> bool:
     return inside
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _contains(lat: pd.Series, lon: pd.Series, ring: pd.Series) -> pd.Series:
     return pd.Series([ring_contains(a, b, list(r)) for a, b, r in zip(lat, lon, ring, strict=True)], dtype="bool")
 
@@ -36,7 +37,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, lat: str, lon: st
     polygons: ring, array<struct<y, x>>, and other columns. Cells bring a point
     together with polygons whose box touches its cell; the box, then the ring decide.
     """
-    box = [pick(F.transform("ring", lambda p, k=k: p[k])) for k in "yx" for pick in (F.array_min, F.array_max)]
+    ys, xs = F.transform("ring", lambda p: p["y"]), F.transform("ring", lambda p: p["x"])
+    box = [F.array_min(ys), F.array_max(ys), F.array_min(xs), F.array_max(xs)]
     cells = polygons.withColumn("__box", F.struct(*[b.alias(n) for n, b in zip(("a", "b", "c", "d"), box, strict=True)])).withColumn("__cell", F.explode(covering_cells((F.col("__box.a"), F.col("__box.b"), F.col("__box.c"), F.col("__box.d")), degrees)))
     joined = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("__cell", coords.cell(F.col(lat), F.col(lon), degrees)).join(cells, "__cell")
     near = joined.where(F.col(lat).between(F.col("__box.a"), F.col("__box.b")) & F.col(lon).between(F.col("__box.c"), F.col("__box.d")))

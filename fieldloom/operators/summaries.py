@@ -31,7 +31,7 @@ def session_summary(df: DataFrame, session: str, fields: list[str], shown: int =
     """Per session: records, and for each field its distinct values counted and the first ``shown`` of them listed."""
     values = [F.sort_array(F.collect_set(F.nullif(blank(f), F.lit("")))).alias(f) for f in fields]
     lists = df.groupBy(session).agg(F.count(F.lit(1)).alias("n_records"), *values)
-    return lists.select(session, "n_records", *[F.size(f).alias(f"n_{f}") for f in fields], *[F.array_join(F.slice(f, 1, shown), ", ").alias(f"{f}_list") for f in fields])
+    return lists.select(session, "n_records", *[F.size(f).cast("long").alias(f"n_{f}") for f in fields], *[F.array_join(F.slice(f, 1, shown), ", ").alias(f"{f}_list") for f in fields])
 
 
 def group_counts(df: DataFrame, by: list[str], total: bool = False) -> DataFrame:
