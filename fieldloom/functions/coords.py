@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import vocabulary as V
 from fieldloom.functions.names import blank
-from fieldloom.functions.places import state_in
+from fieldloom.functions.places import state_box
 
 
 def to_double(c: Column | str) -> Column:
@@ -73,15 +73,15 @@ def checked(lat: Column, lon: Column, context: Column, locality: Column) -> Colu
     home = in_box(lat, lon, V.COUNTRY_BOX)
     near = reduce(lambda a, b: a | b, (in_box(lat, lon, b) for b in V.NEIGHBOUR_BOXES.values()))
     sea = is_marine(context)
-    state = state_in(locality)
-    in_state = reduce(lambda a, b: a | b, ((state == s) & in_box(lat, lon, box, V.STATE_BOX_MARGIN) for s, box in V.STATE_BOXES.items()))
+    state, m = state_box(locality), V.STATE_BOX_MARGIN
+    in_state = lat.between(state["a"] - m, state["b"] + m) & lon.between(state["c"] - m, state["d"] + m)
     note = (
         F.when(lat.isNull() | lon.isNull(), None)
         .when(~lat.between(-90, 90), "INVALID_RANGE lat")
         .when(~lon.between(-180, 180), "INVALID_RANGE lon")
         .when(~home & ~sea & ~near, "OUTSIDE_COUNTRY_BOX")
         .when(~home & ~sea & in_box(lat, lon, V.OCEAN_BOX), "POSSIBLE_OCEAN")
-        .when(state.isNotNull() & ~in_state, F.concat(F.lit("OUTSIDE_STATE_BOX "), state))
+        .when(state.isNotNull() & ~in_state, F.concat(F.lit("OUTSIDE_STATE_BOX "), state["name"]))
     )
     kept = note.isNull() & lat.isNotNull() & lon.isNotNull()
     shown = F.coalesce(note, F.when(kept & ~home & sea, "MARINE_OFFSHORE_ALLOWED"))

@@ -14,7 +14,7 @@ def col(c: Column | str) -> Column:
 
 def blank(c: Column | str) -> Column:
     """The trimmed text, empty where null."""
-    return F.trim(F.coalesce(col(c), F.lit("")))
+    return F.trim(F.coalesce(col(c).cast("string"), F.lit("")))
 
 
 def squeeze(c: Column | str) -> Column:

@@ -91,7 +91,7 @@ def rescued_place(c: Column | str) -> Column:
 def split_sites(c: Column | str) -> Column:
     """The sites of a list such as "A, B, C"; one element where it tells a hierarchy or has parentheses."""
     text = blank(c)
-    parts = F.filter(F.transform(F.split(text, r"[;,]\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"[;,]\s*"), lambda x: F.trim(x)), lambda p: p != "")
     has_word = lambda p: reduce(lambda a, b: a | b, (F.contains(F.lower(p), F.lit(w)) for w in V.HIERARCHY_WORDS))
     hits = F.size(F.filter(parts, has_word))
     single = text.rlike(r"[()]") | (F.size(parts) <= 1) | (hits >= F.floor(F.size(parts) / 2))
@@ -103,15 +103,21 @@ def split_compound(c: Column | str) -> Column:
     text = blank(c)
     inner = F.transform(F.regexp_extract_all(text, F.lit(r"\(([^)]+)\)"), 1), lambda p: F.trim(F.regexp_replace(p, r"(?i)^(?:near|off|at)\s+", "")))
     outer = F.split(F.regexp_replace(text, r"\([^)]*\)", " "), r"\s*(?:[,;/]|\band\b|&)\s*")
-    parts = F.array_distinct(F.filter(F.transform(F.concat(outer, inner), F.trim), lambda p: F.length(p) >= 3))
+    parts = F.array_distinct(F.filter(F.transform(F.concat(outer, inner), lambda x: F.trim(x)), lambda p: F.length(p) >= 3))
     station = text.rlike(r"(?i)^(?:st(?:ation|n)?|site)\.?\s*[A-Z0-9]+$")
     return F.when(station | (F.size(parts) == 0), F.array(text)).otherwise(parts)
 
 
-def state_in(c: Column | str) -> Column:
-    """The first state, in the table's order, that the text names; else null."""
+def state_box(c: Column | str) -> Column:
+    """struct(name, a, b, c, d): the first state, in the table's order, that the text names, and its box; else null."""
     text = F.lower(blank(c))
-    return F.coalesce(*[F.when(F.contains(text, F.lit(s)), s) for s in V.STATE_BOXES])
+    boxes = F.array(*[F.struct(F.lit(s).alias("name"), *[F.lit(x).alias(n) for n, x in zip("abcd", box, strict=True)]) for s, box in V.STATE_BOXES.items()])
+    return F.get(F.filter(boxes, lambda s: F.contains(text, s["name"])), F.lit(0))
+
+
+def state_in(c: Column | str) -> Column:
+    """The name of state_box."""
+    return state_box(c)["name"]
 
 
 def enriched_place(place: Column, district: Column, state: Column) -> Column:

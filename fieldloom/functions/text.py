@@ -20,12 +20,12 @@ def count_of(c: Column | str, pattern: str) -> Column:
 
 def paragraphs(c: Column | str, least: int = 20) -> Column:
     """Parts between blank lines that are longer than ``least``."""
-    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\n\s*\n"), F.trim), lambda p: F.length(p) > least)
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\n\s*\n"), lambda x: F.trim(x)), lambda p: F.length(p) > least)
 
 
 def sentences(c: Column | str, least: int = 10) -> Column:
     """Parts ending in a stop, question or exclamation mark, longer than ``least``."""
-    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), V.SENTENCE_END), F.trim), lambda s: F.length(s) > least)
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), V.SENTENCE_END), lambda x: F.trim(x)), lambda s: F.length(s) > least)
 
 
 def guarded_sentences(c: Column | str) -> Column:
@@ -204,7 +204,7 @@ def best_title(*candidates: Column) -> Column:
 
 
 def first_good_line(c: Column | str) -> Column:
-    good = F.filter(F.transform(lines(c), F.trim), lambda x: (F.length(x) >= 10) & (F.length(x) <= 300))
+    good = F.filter(F.transform(lines(c), lambda x: F.trim(x)), lambda x: (F.length(x) >= 10) & (F.length(x) <= 300))
     return F.coalesce(F.get(good, F.lit(0)), F.lit(""))
 
 

@@ -143,7 +143,7 @@ SENTENCE_END = r"(?<=[.!?])\s+"
 
 # Relations told by a sentence, their patterns and confidences.
 RELATIONS = (
-    ("FOUND_AT", r"(?i)(?:found|collected|recorded|observed|reported)\s+(?:at|from|in|near|off)\s+([A-Z][A-Za-z]+(?:\s+(?:of\s+)?[A-Z][A-Za-z]+){0,3})", 0.8),
+    ("FOUND_AT", r"(?i:found|collected|recorded|observed|reported)\s+(?i:at|from|in|near|off)\s+([A-Z][A-Za-z]+(?:\s+(?:of\s+)?[A-Z][A-Za-z]+){0,3})", 0.8),
     ("HAS_HABITAT", r"(?i)\b((?:coral|rocky|sandy|muddy)\s+(?:reef|shore|bottom|flat|substrate)|intertidal\s+\w+|subtidal\s+\w+|seagrass\s+\w+|mangrove\s+\w+)", 0.7),
     ("HAS_DEPTH", r"(\d+(?:\.\d+)?\s*[–\-]\s*\d+(?:\.\d+)?)\s*m\b", 0.75),
     ("CO_OCCURS_WITH", r"(?:alongside|together\s+with|associated\s+with)\s+([A-Z][a-z]{2,}\s+[a-z]{3,})", 0.65),

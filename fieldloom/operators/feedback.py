@@ -35,14 +35,15 @@ def fit_types(rows: DataFrame, least: int = LEAST_ROWS, seed: int = 7) -> Pipeli
 def predict_types(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with predicted, confidence, probabilities (mean of the classifiers) and needs_review."""
     names = model.stages[0].labels
-    scored = model.transform(df.withColumn("text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("label", F.lit(names[0])))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(names[0]).alias("label"))
+    scored = model.transform(rows)
     mean = F.zip_with(vector_to_array("__p1"), vector_to_array("__p2"), lambda a, b: (a + b) / 2)
     p = F.slice(mean, 1, len(names))
     best = F.array_position(p, F.array_max(p)).cast("int")
     out = scored.withColumn("probabilities", p)
     out = out.withColumns({"confidence": F.array_max("probabilities"), "predicted": F.element_at(F.array(*map(F.lit, names)), best)})
     keep = [c for c in df.columns if c not in ("probabilities", "confidence", "predicted", "needs_review")]
-    return out.withColumn("needs_review", F.col("confidence") < REVIEW_BELOW).select(*keep, "predicted", "confidence", "probabilities", "needs_review")
+    return out.withColumn("needs_review", F.col("confidence") < REVIEW_BELOW).select(*[F.col("__row")[c].alias(c) for c in keep], "predicted", "confidence", "probabilities", "needs_review")
 
 
 def feature_vector(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:

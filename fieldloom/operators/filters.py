@@ -68,8 +68,9 @@ def check_coordinates(df: DataFrame) -> DataFrame:
     lat = F.coalesce(coords.to_double("decimalLatitude"), coords.parse_degrees("decimalLatitude"))
     lon = F.coalesce(coords.to_double("decimalLongitude"), coords.parse_degrees("decimalLongitude"))
     told = F.concat_ws(" ", *[F.col(c) for c in ("habitat", "verbatimLocality", "rawTextEvidence") if c in df.columns])
-    out = coords.checked(lat, lon, told, told)
-    return df.withColumn("__c", out).withColumns({"decimalLatitude": F.col("__c.lat"), "decimalLongitude": F.col("__c.lon"), "coordinate_note": F.col("__c.note")}).drop("__c")
+    read = df.withColumns({"__lat": lat, "__lon": lon, "__told": told})
+    out = coords.checked(F.col("__lat"), F.col("__lon"), F.col("__told"), F.col("__told"))
+    return read.withColumn("__c", out).withColumns({"decimalLatitude": F.col("__c.lat"), "decimalLongitude": F.col("__c.lon"), "coordinate_note": F.col("__c.note")}).drop("__c", "__lat", "__lon", "__told")
 
 
 def check_by_code(df: DataFrame, boxes: DataFrame, text_col: str = "verbatimLocality") -> DataFrame:

@@ -218,7 +218,7 @@ def study_context(section_table: DataFrame, id_col: str = "doc_id", most: int =
 
 def context_localities(context: Column | str) -> Column:
     found = F.regexp_extract(F.col(context) if isinstance(context, str) else context, r"Localities: ([^\n]*)", 1)
-    return F.filter(F.transform(F.split(found, ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(found, ","), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def with_context(chunk_table: DataFrame, contexts: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,8 +114,6 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def without_tables(c: Column | str) -> Column:
     """A text with its tables told as sentences."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else prose_of(t))
