@@ -17,6 +17,8 @@ the candidates, every link is found that joins different classes:
    index over their shingles; only links between different classes come out.
 
 Links are exact: the Jaccard similarity of the sets of (32-bit) shingle ids.
+Joins whose sides grow with the corpus ask for a sort-merge join at every size,
+so that a small input runs the same plan as a large one.
 """
 
 from __future__ import annotations
@@ -191,14 +193,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = F.min(F.struct("doc_id", "row_id"))
     texts = work.save(rows.groupBy("text_key").agg(F.min("row_id").alias("rep"), first.alias("first"), F.count(F.lit(1)).alias("n")), "texts")
     reps = texts.select(F.col("rep").alias("row_id"))
-    banded = work.save(rows.select("row_id", "bands").join(reps, "row_id").select(F.col("row_id").alias("rep"), F.explode("bands").alias("key")), "banded")
+    banded = work.save(rows.select("row_id", "bands").join(reps.hint("merge"), "row_id").select(F.col("row_id").alias("rep"), F.explode("bands").alias("key")), "banded")
     buckets = work.save(banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot"), "buckets")
-    shared = work.save(banded.join(buckets, "key"), "shared")
+    shared = work.save(banded.join(buckets.hint("merge"), "key"), "shared")
 
     # 1. stars
     stars = work.save(shared.where("rep <> pivot").select("rep", "pivot").distinct(), "stars")
     wanted = stars.select("rep").union(stars.select("pivot")).distinct()
-    sets = work.save(_shingle_sets(rows.select(F.col("row_id").alias("rep"), "text").join(wanted, "rep"), width), "sets")
+    sets = work.save(_shingle_sets(rows.select(F.col("row_id").alias("rep"), "text").join(wanted.hint("merge"), "rep"), width), "sets")
     links = work.save(_verified(stars, sets, similarity), "star_links")
     roots = components(links, work, "stars")
 
@@ -214,7 +216,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = work.save(texts.join(classes, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
     whole = placed.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"), F.min("first.doc_id").alias("class_id"))
     by_text = work.save(placed.select("text_key", "root").join(whole, "root"), "by_text")
-    out = rows.select("row_id", "doc_id", "text_key").join(by_text, "text_key")
+    out = rows.select("row_id", "doc_id", "text_key").join(by_text.hint("merge"), "text_key")
     return out.select("doc_id", "class_id", "class_size", (F.col("keep.row_id") == F.col("row_id")).alias("kept"), "row_id", "text_key")
 
 
@@ -247,7 +249,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                     b.append(pivot)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema)
 
-    both = pairs.join(sets.select("rep", F.col("shingles").alias("mine")), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("other")), "pivot")
+    both = pairs.join(sets.select("rep", F.col("shingles").alias("mine")).hint("merge"), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("other")).hint("merge"), "pivot")
     return both.select("rep", "pivot", "mine", "other").mapInArrow(check, "a long, b long")
 
 
