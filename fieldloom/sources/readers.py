@@ -167,3 +167,11 @@ def page_texts(pages: DataFrame, doc: str, order: str, body: str) -> DataFrame:
 
 def dois(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(id_col, citations.doi(text_col).alias("doi")).where("doi <> ''")
+
+
+def first_table(spark: SparkSession, *candidates: str) -> str:
+    """The first of the named tables that the catalog has."""
+    for name in candidates:
+        if spark.catalog.tableExists(name):
+            return name
+    raise ValueError(f"none of {', '.join(candidates)} exists")
