@@ -29,11 +29,11 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, grams: int = 2, most_term
     ``most_terms`` keeps the terms that occur most often in all (a model size, not a row cap).
     """
     counts = terms(docs, id_col, text_col, grams)
-    n = docs.agg(F.count_distinct(id_col).alias("n"))
+    n = docs.select(id_col).distinct().count()
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if most_terms is not None:
         df = df.orderBy(F.desc("total"), "term").limit(most_terms)
-    idf = df.crossJoin(n).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(idf, "term").select(id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     length = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     return raw.join(length, id_col).select(id_col, "term", (F.col("w") / F.col("len")).alias("weight"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,26 +113,31 @@ def distribution(df: DataFrame, species: str, country: str, state: str, locality
     return rows.groupBy(species, "region").agg(F.array_join(F.sort_array(F.collect_set("locality")), "; ").alias("localities"), F.count(F.lit(1)).alias("n"))
 
 
+def _label_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """label, support, said, hit: how often a label is true, predicted, and both."""
+    pairs = df.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    sides = F.explode(F.array(F.struct(F.col("t").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said")), F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said"))))
+    hit = F.when((F.col("t") == F.col("p")) & (F.col("s.support") > 0), F.col("n")).otherwise(0)
+    return pairs.select("t", "p", "n", sides.alias("s")).groupBy("s.label").agg(F.sum("s.support").alias("support"), F.sum("s.said").alias("said"), F.sum(hit).alias("hit"))
+
+
+def _scores(counts: DataFrame) -> DataFrame:
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    rows = counts.withColumns({"precision": ratio(F.col("hit"), F.col("said")), "recall": ratio(F.col("hit"), F.col("support"))})
+    both = F.col("precision") + F.col("recall")
+    return rows.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
+
+
 def label_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Per label: support, precision, recall and F1, to six places."""
-    pairs = df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))
-    labels = pairs.select(F.col(truth).alias("label")).union(pairs.select(predicted)).distinct()
-    hit = pairs.where(F.col(truth) == F.col(predicted)).select(F.col(truth).alias("label"), F.col("n").alias("hit"))
-    real = pairs.groupBy(F.col(truth).alias("label")).agg(F.sum("n").alias("support"))
-    said = pairs.groupBy(F.col(predicted).alias("label")).agg(F.sum("n").alias("said"))
-    joined = reduce(lambda a, b: a.join(b, "label", "left"), [hit, real, said], labels).na.fill(0)
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    p, r = ratio(F.col("hit"), F.col("said")), ratio(F.col("hit"), F.col("support"))
-    return joined.select("label", "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
+    return _scores(_label_counts(df, truth, predicted)).select("label", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def overall_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Accuracy, and precision, recall and F1 weighted by support."""
-    m = label_metrics(df, truth, predicted)
+    """One row: accuracy, and precision, recall and F1 weighted by support."""
     n = F.sum("support")
-    weighted = m.agg(*[F.round(F.sum(F.col(c) * F.col("support")) / n, 6).alias(c) for c in ("precision", "recall", "f1")])
-    accuracy = df.agg(F.round(F.avg(F.when(F.col(truth) == F.col(predicted), 1.0).otherwise(0.0)), 6).alias("accuracy"))
-    return accuracy.crossJoin(weighted)
+    rows = _scores(_label_counts(df, truth, predicted))
+    return rows.agg(F.round(F.sum("hit") / n, 6).alias("accuracy"), *[F.round(F.sum(F.col(c) * F.col("support")) / n, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def moving_average(df: DataFrame, by: list[str], order: list[str], value: str, alpha: float = 0.3) -> DataFrame:

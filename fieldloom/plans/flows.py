@@ -78,9 +78,9 @@ def answer_context(nodes: DataFrame, edges: DataFrame, question: str, k: int = 1
 
 def retry_until_complete(extract, docs: DataFrame, expected: Column, rounds: int = 2, threshold: float = 0.95) -> DataFrame:
     """extract(docs, round) repeated, adding what is newly found, until enough of the stated species are there."""
-    found = extract(docs, 0)
+    found, stated = extract(docs, 0), docs.agg(F.max(expected)).first()[0]
     for i in range(1, rounds + 1):
-        if reconcile.completeness(found.crossJoin(docs.agg(F.max(expected).alias("__e"))), F.col("__e"), threshold).first()["complete"]:
+        if reconcile.completeness(found, F.lit(stated), threshold).first()["complete"]:
             break
         found = found.unionByName(reconcile.newly_found(extract(docs, i), found), allowMissingColumns=True)
     return found
