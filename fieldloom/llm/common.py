@@ -21,9 +21,15 @@ SLICE_CHARS = 2_000_000
 
 
 def per_process(key: str, make: Callable[[], object]) -> object:
-    """make(), once in each Python process, so that reused workers keep tokenizers and memos."""
+    """make(), kept in this Python process until another key is asked for, so that reused workers keep a memo.
+
+    What make() itself asks for is kept along with it. Only one operator's
+    tables are held at a time, whatever ran in the worker before.
+    """
     store = sys.modules.setdefault("_fieldloom_store", types.ModuleType("_fieldloom_store")).__dict__
     if key not in store:
+        for old in [k for k in store if not k.startswith("__")]:
+            del store[old]
         store[key] = make()
     return store[key]
 
