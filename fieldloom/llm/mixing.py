@@ -6,6 +6,7 @@ document has a random number u, from a seeded digest of its id, and an
 inclusion probability p, and documents are ranked by their random odds u/(1-u)
 over their inclusion odds p/(1-p). The sample is the start of that order, of
 fixed size in words: it is cut where the words taken come nearest to the target.
+One document per source may then join or leave it, if that comes nearer still.
 
 The cut is found without sorting a source: ranks are mapped to 60-bit keys, and
 a histogram of key ranges narrows the range that holds the cut, 1024 times per
@@ -102,8 +103,28 @@ def pareto_mix(
     before = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.col("doc_id").eqNullSafe(F.col("cut_id")) | F.coalesce(F.col("doc_id") < F.col("cut_id"), F.col("doc_id").isNull())))
     # rows that share key, id and size are one tie and go the same way
     after_tie = (F.col("key") == F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("size") > F.col("cut_size"))
-    copies = F.col("whole") + F.coalesce((before & ~after_tie).cast("long"), F.lit(0))
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    sampled = F.coalesce(before & ~after_tie, F.lit(False))
+    drawn = work.save(joined.select("doc_id", "source", "size", "source_size", "target", "whole", "part", "key", sampled.alias("sampled")), "drawn")
+    moves = _closing_moves(drawn).select(F.col("source").alias("__s"), F.col("m.key").alias("__k"), F.col("m.doc_id").alias("__d"), F.col("m.size").alias("__z"))
+    moved = (F.col("key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("size") == F.col("__z"))
+    final = drawn.join(moves, F.col("source").eqNullSafe(F.col("__s")), "left")
+    copies = F.col("whole") + (F.col("sampled") != F.coalesce(moved, F.lit(False))).cast("long")
+    return final.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def _closing_moves(drawn: DataFrame) -> DataFrame:
+    """source, m(key, doc_id, size): the document whose joining or leaving the sample brings its source nearest to the target, if any does.
+
+    In a small source the document at the cut may be a large part of all words;
+    this last move makes up for it.
+    """
+    taken = drawn.groupBy("source", "target").agg(F.sum(F.col("size") * (F.col("whole") + F.col("sampled").cast("long"))).alias("words"))
+    gaps = taken.select(F.col("source").alias("__s"), (F.col("target") - F.col("words")).alias("gap"))
+    each = drawn.where("part > 0").groupBy("source", "key", "doc_id", "size", "sampled").agg(F.sum("size").alias("words"))
+    open_ = each.join(gaps, F.col("source").eqNullSafe(F.col("__s")))
+    left = F.abs(F.col("gap") - F.when(F.col("sampled"), -F.col("words")).otherwise(F.col("words")))
+    nearer = open_.withColumn("left", left).where(F.col("left") < F.abs("gap"))
+    return nearer.groupBy("source").agg(F.min_by(F.struct("key", "doc_id", "size"), F.struct("left", "key", "doc_id", "size")).alias("m"))
 
 
 def _find_cuts(keyed: DataFrame, targets: DataFrame, work: Workspace) -> DataFrame:
