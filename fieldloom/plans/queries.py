@@ -138,11 +138,11 @@ def session_counts(spark, sf_dir):
     return summaries.session_summary(occurrence_view(spark, sf_dir), "phylum", ["family_", "verbatimLocality"])
 
 
-@query("SELECT n_regionkey AS region, c_mktsegment AS segment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, c_mktsegment)")
+@query("SELECT region, c_mktsegment AS segment, count(*) AS n FROM (SELECT n_regionkey::VARCHAR AS region, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY ROLLUP (region, c_mktsegment)")
 def section_counts(spark, sf_dir):
     """Group counts with totals."""
     c = read_table(spark, sf_dir, "customer").join(read_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return summaries.group_counts(c.select(F.col("n_regionkey").alias("region"), F.col("c_mktsegment").alias("segment")), ["region", "segment"], total=True)
+    return summaries.group_counts(c.select(F.col("n_regionkey").cast("string").alias("region"), F.col("c_mktsegment").alias("segment")), ["region", "segment"], total=True)
 
 
 @query(occ_sql("SELECT validName, min(depth_m) AS lat_min, max(depth_m) AS lat_max, min(evidence) AS lon_min, max(evidence) AS lon_max, count(*) AS n FROM occ GROUP BY validName"))
@@ -464,13 +464,13 @@ def silent_chunks(spark, sf_dir):
     return whole.groupBy("doc_id").agg(F.min("l_partkey").alias("n"))
 
 
-@query("SELECT e.event_id, m.event_id AS near_id FROM events e LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') m ON m.user_id = e.user_id AND abs(m.event_id - e.event_id) <= 400 WHERE e.event_type = 'click' QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY abs(m.event_id - e.event_id), m.event_id) = 1")
+@query("SELECT e.event_id, coalesce(m.event_id, -1) AS near_id FROM events e LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') m ON m.user_id = e.user_id AND abs(m.event_id - e.event_id) <= 400 WHERE e.event_type = 'click' QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY abs(m.event_id - e.event_id), m.event_id) = 1")
 def nearest_mention(spark, sf_dir):
     """Each record's nearest mention within a reach."""
     e = read_table(spark, sf_dir, "events")
     rows = e.where("event_type = 'click'").select("user_id", "event_id")
     told = e.where("event_type = 'purchase'").select("user_id", "event_id", F.col("event_id").alias("near_id"))
-    return nearest.nearest_mention(rows, told, "user_id", "event_id", 400, ["near_id"]).select("event_id", "near_id")
+    return nearest.nearest_mention(rows, told, "user_id", "event_id", 400, ["near_id"]).select("event_id", F.coalesce("near_id", F.lit(-1)).alias("near_id"))
 
 
 # ---------------------------------------------------------------- text
