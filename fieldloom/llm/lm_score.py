@@ -51,8 +51,6 @@ RUN, BIGRAM_PRIOR = 16, 0.1
 HASHES, BITS_PER_ENTRY = 5, 8.0
 #: Filters up to this size in all are broadcast.
 BROADCAST_BYTES = 48 << 20
-#: A bigram enters the filter from this count on; words always do.
-MIN_BIGRAM = 2
 END = b""
 _HEAD = "<BBIQ"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -289,8 +287,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     def build(batches):
         for at, parts in _by(batches, "range").items():
             keys, n = _summed([expand(r["data"]) for r in parts])
-            kept = (n >= MIN_BIGRAM) | (keys & np.uint64(0x10000) == 0)
-            keys, level = keys[kept], levels(n[kept])
+            level = levels(n)
             bits = np.zeros(int(level.sum() * BITS_PER_ENTRY) // 8 + 8, np.uint8)
             fill(bits, keys, level)
             _write(uri := f"{folder}/segment-{at:08d}", bits.tobytes())

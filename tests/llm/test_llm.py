@@ -166,6 +166,20 @@ def test_lm_scores_known_passages_higher(spark):
     assert got[101].score > got[101].base_score - 10
 
 
+def test_lm_credits_a_passage_of_one_training_text(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(2000)]
+    once = " ".join(rnd.choices(words, k=64))
+    table = [(i, " ".join(rnd.choices(words, k=400))) for i in range(40)] + [(40, once), (100, once), (101, " ".join(rnd.choices(words, k=64)))]
+    got = {r.doc_id: r for r in lm_score.score_documents(spark.createDataFrame(table, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    assert got[100].score > got[100].base_score + 20
+    assert got[101].score < got[101].base_score + 5
+
+
 def test_log_frequency_filter():
     rng = np.random.default_rng(2)
     keys, counts = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(1, 1000, 5000)
