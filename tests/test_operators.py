@@ -92,6 +92,38 @@ def test_similar_pairs_equal_brute_force(spark):
     assert best["pirotan"] == "pirotann"
 
 
+@pytest.mark.parametrize(("scorer", "threshold"), [("edit", 80.0), ("indel", 80.0), ("indel", 50.0), ("sequence", 80.0), ("token_sort", 88.0), ("token_set", 82.0)])
+def test_similar_pairs_lose_nothing_in_a_large_dimension(spark, scorer, threshold):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    names = {"".join(rnd.choices(["sha", "li", "ta", "sa", "na", "mo"], k=rnd.randint(2, 4))) + rnd.choice(["wadi", "pur", " wadi", " pur"]) for _ in range(4000)}
+    right = sorted(names)
+    left = []
+    for name in rnd.sample(right, 30):
+        at = rnd.randrange(len(name))
+        left.append(name[:at] + rnd.choice("abcdxyz ") + name[at + 1 :])
+    left += [" ".join(reversed(left[0].split(" "))), "ab", "sha", "Wadi", "pur shali"]
+    right += ["ac", "x", "shaa", "wadi"]
+    score = (lambda a, b: 100.0 * (1 - edits(a, b) / max(len(a), len(b)))) if scorer == "edit" else similarity.SCORERS[scorer]
+    want = {(a, b) for a in set(left) for b in right if score(a, b) >= threshold}
+    assert len(right) > 500
+    df = spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string")
+    got = [(r.left_key, r.right_key) for r in similarity.similar_pairs(*df, "a", "b", threshold, scorer).select("left_key", "right_key").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_greedy_clusters(spark):
     df = spark.createDataFrame([("d", "cassiopea andromeda::narara"), ("d", "cassiopea andromedae::narara"), ("d", "elysia obtusa::okha"), ("e", "x")], "doc string, k string")
     got = {(r.k, r.leader) for r in similarity.greedy_clusters(df, ["doc"], "k").collect()}
