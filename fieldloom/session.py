@@ -6,6 +6,8 @@ the repository on their path.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark import cloudpickle
@@ -23,26 +25,56 @@ def ship_code() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, set to a local one only where it is unset."""
+    """The folder that driver and executors share; in local mode alone, an unset one becomes a local folder."""
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
         found = f"{LOCAL_CHECKPOINTS}/{spark.sparkContext.applicationId}"
         spark.conf.set(CHECKPOINT_KEY, found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _drop_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_open_roots: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _drop_open_roots() -> None:
+    """What the run left in the shared folder goes when the driver ends; a session that has stopped can remove nothing."""
+    for root, spark in list(_open_roots.items()):
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                _drop_path(spark, root)
+
+
 class Workspace:
-    """Tables one operator run writes to the shared folder to cut lineage."""
+    """Tables one operator run writes to the shared folder to cut lineage.
+
+    They are there while lazy results may read them: until clear() is called or
+    the driver's Python ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         ship_code()
         self.spark = spark
         self.root = f"{shared_dir(spark)}/fieldloom/{name}-{uuid.uuid4().hex[:12]}"
+        _open_roots[self.root] = spark
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def uri(self, name: str) -> str:
+        """The path with the scheme that Hadoop resolves it to, for readers and writers other than Spark's."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        found = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+        return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and return the written table."""
         df.write.mode("overwrite").parquet(self.path(name))
@@ -50,11 +82,13 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing lazy reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(path, True)
+            _drop_path(self.spark, self.path(name))
+
+    def clear(self) -> None:
+        """Delete all tables; nothing lazy may read them any more."""
+        _drop_path(self.spark, self.root)
+        _open_roots.pop(self.root, None)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,17 +21,26 @@ def _fs(spark: SparkSession, path: str):
 
 
 class Snapshots:
-    """A table as numbered snapshots; CURRENT names the one to read and is replaced in one rename."""
+    """A table as numbered snapshots.
+
+    A snapshot counts from the moment its pointer file appears, in one rename to
+    a name that was free; the largest pointer is the one to read. Nothing is
+    deleted, so a crash at any point leaves the former snapshot in force.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def current(self) -> int | None:
         fs, path = _fs(self.spark, self.root)
-        at = path(f"{self.root}/CURRENT")
-        if not fs.exists(at):
-            return None
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        at = path(f"{self.root}/pointers")
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return max((int(n) for n in names if n.isdigit()), default=None)
+
+    def note(self) -> str | None:
+        """What the writer of the current snapshot noted with it."""
+        v = self.current()
+        return None if v is None else self.spark.read.text(f"{self.root}/pointers/{v:012d}").first()[0].partition(" ")[2]
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.current() if version is None else version
@@ -39,18 +48,18 @@ class Snapshots:
             raise FileNotFoundError(f"{self.root} has no snapshot")
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/v={v}")
 
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        """Write df as the next snapshot, then let CURRENT name it."""
+    def write(self, df: DataFrame, partition_by: list[str] | None = None, note: str = "") -> int:
+        """Write df as the next snapshot, then its pointer with a note."""
         v = (self.current() or 0) + 1
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/v={v}")
         fs, path = _fs(self.spark, self.root)
-        waiting = path(f"{self.root}/.CURRENT-{v}")
+        waiting = path(f"{self.root}/pointers/.{v:012d}")
         out = fs.create(waiting, True)
-        out.write(bytearray(str(v), "ascii"))
+        out.write(bytearray(f"{v} {note}", "utf-8"))
         out.close()
-        fs.delete(path(f"{self.root}/CURRENT"), False)
-        fs.rename(waiting, path(f"{self.root}/CURRENT"))
+        if not fs.rename(waiting, path(f"{self.root}/pointers/{v:012d}")):
+            raise FileExistsError(f"{self.root}: another writer made snapshot {v}")
         return v
 
 

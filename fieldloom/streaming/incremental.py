@@ -21,13 +21,18 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
 
 
 def fold(stream: DataFrame, state: Snapshots, checkpoint: str, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> StreamingQuery:
-    """Run step(state so far, batch) over every batch there is now, and keep each result as a snapshot."""
+    """Run step(state so far, batch) over every batch there is now, and keep each result as a snapshot.
+
+    A snapshot's note names the checkpoint and the batch it holds last, so a
+    batch that is delivered again is left out, and a fresh checkpoint over an
+    older state starts at its first batch.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        v = state.current()
-        if v is not None and v > batch_id:
+        where, _, last = (state.note() or "").rpartition("#")
+        if where == checkpoint and batch_id <= int(last):
             return
-        state.write(step(state.read() if v is not None else None, batch))
+        state.write(step(state.read() if state.current() is not None else None, batch), note=f"{checkpoint}#{batch_id}")
 
     query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
     query.awaitTermination()

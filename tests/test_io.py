@@ -107,6 +107,27 @@ def test_stage_stream(spark, tmp_path):
     assert {r.user_id: r.stage for r in state.read().collect()} == want
 
 
+def test_a_fresh_checkpoint_loses_no_batch(spark, tmp_path):
+    e = spark.range(40).select((F.col("id") % 5).alias("k"), F.lit(1).alias("n"))
+    state = writers.Snapshots(spark, f"{tmp_path}/state")
+    for turn in (1, 2):
+        e.repartition(3).write.mode("append").parquet(f"{tmp_path}/in{turn}")
+        stream = incremental.file_stream(spark, f"{tmp_path}/in{turn}", "k long, n int", 1)
+        incremental.fold(stream, state, f"{tmp_path}/cp{turn}", incremental.running_sum(["k"], ["n"]))
+        assert state.read().agg(F.sum("n")).first()[0] == 40 * turn
+    assert state.note().startswith(f"{tmp_path}/cp2#")
+
+
+def test_workspace(spark, tmp_path):
+    from fieldloom.session import Workspace
+
+    work = Workspace(spark, "t")
+    assert work.save(spark.range(3), "a").count() == 3
+    assert work.uri("a").startswith("file:///")
+    work.drop("a")
+    work.clear()
+
+
 def test_windowed_counts(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     got = incremental.windowed_counts(e, "ts", ["event_type"], "1 day", "1 hour")
