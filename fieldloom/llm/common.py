@@ -6,11 +6,16 @@ import re
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    # this module travels with the functions that workers run; a session cannot
+    from fieldloom.session import Workspace
+
 #: Cut a text into pieces within which no match of the byte-level pre-token
 #: pattern crosses an edge: a word with its one leading space, or blank runs.
 COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s")
@@ -84,13 +89,25 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def matching_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of docs whose id and text's SHA-256 are in stay (__stay_id, __stay_text); one of rows that share both."""
-    repeated = not docs.groupBy(id_col).count().where("count > 1").isEmpty()
-    rows = docs.withColumn("__stay_text", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
-    rows = rows.withColumn("__stay_id", F.col(id_col).cast("long"))
-    both = [rows[c].eqNullSafe(stay[c]) for c in ("__stay_id", "__stay_text")]
-    found = rows.join(stay, both, "left_semi")
-    if repeated:
-        found = found.dropDuplicates(["__stay_id", "__stay_text"])
-    return found.select(*docs.columns)
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever dots or marks it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame, work: Workspace) -> DataFrame:
+    """docs written once, with its columns renamed by place to c0, c1, ... and a row_id unique to each row.
+
+    Working columns can then clash with none of docs' own; restored() undoes it.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return work.save(plain.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
+
+
+def place(docs: DataFrame, name: str) -> Column:
+    """The column of docs in its numbered() form."""
+    return F.col(f"c{docs.columns.index(name)}")
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of numbered() with docs' columns under their own names."""
+    return rows.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

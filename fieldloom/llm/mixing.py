@@ -2,16 +2,18 @@
 
 A source of rate r (its target over its own size) gets floor(r) certain copies
 of every document; the rest is a sample without replacement. There each
-document has a random number u, from a seeded digest of its id, and an
-inclusion probability p, and documents are ranked by their random odds u/(1-u)
-over their inclusion odds p/(1-p). The sample is the start of that order, of
-fixed size in words: it is cut where the words taken come nearest to the target.
-One document per source may then join or leave it, if that comes nearer still.
-
-The cut is found without sorting a source: ranks are mapped to 60-bit keys, and
-a histogram of key ranges narrows the range that holds the cut, 1024 times per
-level, until few documents are left in it. All that is gathered per source has
-at most 1024 rows, however large the source.
+document has a random number u, from a seeded digest of its id and text, and
+inclusion odds of its own: those of its source's rate, multiplied by a tilt of
+the document. Documents are ranked by their random odds u/(1-u) over their
+inclusion odds. The sample is the start of that order, of fixed size in words:
+it is cut where the words taken come nearest to the target. One document per
+source may then join or leave it, if that comes nearer still.
+
+The cut is found without sorting a source: logarithms of the ranks are mapped to
+60-bit keys, and a histogram of key ranges narrows the range that holds the cut,
+1024 times per level, until few documents are left in it. All that is gathered
+per source has at most 1024 rows, however large the source. Sources may be many
+as well: they are numbered by a range partition and filled up by sums alone.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.llm import common
 from fieldloom.session import Workspace
 
 #: Word separators of the size contract: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS, LEVEL_BITS = 60, 10
+#: Logarithms of ranks lie between -HALF and HALF.
+HALF = 128
 
 
 def word_count(text: Column) -> Column:
@@ -32,32 +37,38 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(flat, " +"), "")).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
-    """sizes (source, source_size) with each source's target.
+def _numbered_sources(sizes: DataFrame, work: Workspace) -> DataFrame:
+    """sizes with place, the number from 0 of each source in code point order, null last."""
+    dealt = sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("deal", F.spark_partition_id())
+    dealt = work.save(dealt, "dealt")
+    # a row per partition
+    ends = dealt.groupBy("deal").agg(F.count(F.lit(1)).alias("n"))
+    before = ends.select("deal", (F.sum("n").over(Window.orderBy("deal")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("deal").orderBy(F.col("source").asc_nulls_last())) - 1
+    return dealt.withColumn("within", within).join(before, "deal").withColumn("place", F.col("before") + F.col("within")).drop("deal", "within", "before")
+
+
+def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float, work: Workspace) -> DataFrame:
+    """sizes (source, source_size, ...) with each source's target.
 
     Sources in code point order, null last, get ``weights`` in turn, repeating.
     Targets share ``share`` times all sizes by weight but stop at ``most`` times
-    the source's size; what that leaves over is shared again by weight. The
-    sources that stop are those with the least room per weight, so one pass in
-    that order finds them. One row per source.
+    the source's size; what that leaves over is shared again by weight until
+    none is above. Each round is two sums over the sources. One row per source.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_room = Window.orderBy("room_per_weight", F.col("source").asc_nulls_last())
-    everyone = Window.partitionBy(F.lit(1))
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    ranked = (
-        sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1))
-        .withColumn("room", most * F.col("source_size"))
-        .withColumn("room_per_weight", F.col("room") / F.col("weight"))
-        .withColumn("total", share * F.sum("source_size").over(everyone))
-        .withColumn("room_before", F.coalesce(F.sum("room").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("weight").over(by_room.rowsBetween(0, Window.unboundedFollowing)))
-        # the level if this source and all with more room took their part
-        .withColumn("level", (F.col("total") - F.col("room_before")) / F.col("weight_left"))
-        .withColumn("fill", F.first(F.when(F.col("level") < F.col("room_per_weight"), F.col("level")), ignorenulls=True).over(by_room.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    )
-    target = F.when(F.col("fill").isNull() | (F.col("fill") > F.col("room_per_weight")), F.col("room")).otherwise(F.col("fill") * F.col("weight"))
-    return ranked.select("source", "source_size", target.alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    ranked = work.save(_numbered_sources(sizes, work).withColumn("weight", weight).withColumn("room", most * F.col("source_size")), "ranked")
+    total, left_weight = ranked.agg(share * F.sum("source_size"), F.sum("weight")).first()
+    level, stopped = (total / left_weight if left_weight else 0.0), -1
+    while True:
+        full = F.col("room") <= level * F.col("weight")
+        n, used, left_weight = ranked.agg(F.count_if(full), F.sum(F.when(full, F.col("room"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == stopped or not left_weight:
+            break
+        level, stopped = (total - (used or 0.0)) / left_weight, n
+    # with every source full, the level is of no account
+    target = F.least(F.col("room"), level * F.col("weight")) if left_weight else F.col("room")
+    return ranked.withColumn("target", target).drop("place", "weight", "room")
 
 
 def pareto_mix(
@@ -66,69 +77,94 @@ def pareto_mix(
     share: float = 1.0,
     most: float = 2.0,
     seed: str = "mix",
+    length_power: float = 0.0,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
     tilt_col: str | None = None,
 ) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, copies, taken (size x copies).
+    """Per row: row_id, doc_id, source, size, source_size, target, copies, taken (size x copies).
+
+    A document's inclusion odds are those of its source's rate, times
+    (mean size of the source's documents / its own size) ** length_power, times
+    ``tilt_col``, a positive number per document (null or absent means 1).
+    Rows alike in id and text share a random number; equal keys are told apart
+    by row_id, so a part of such rows may be taken. Documents without a word are
+    of size 0 and never change a total. Null sources are one source; ids may be
+    null or of any type. An empty table gives no rows. The draw depends on ids,
+    texts and seed alone, so reruns agree.
+    """
+    work = Workspace(docs.sparkSession, "mix")
+    tilt = common.named(tilt_col) if tilt_col else F.lit(1.0)
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), common.named(id_col).alias("doc_id"), common.named(source_col).alias("source"), common.named(text_col).alias("text"), tilt.alias("tilt"))
+    return _mixed(rows, weights, share, most, seed, length_power, work)
+
 
-    ``tilt_col``, a positive number per document, multiplies its inclusion odds;
-    null or absent means 1. Rows sharing a doc_id share a random number and are
-    ordered by size. Documents without a word are of size 0 and never change a
-    total. Null sources are one source, null ids one id. An empty table gives no
-    rows. The draw depends on ids and seed alone, so reruns agree.
+def mix_documents(docs: DataFrame, weights: list[float], share: float = 1.0, most: float = 2.0, seed: str = "mix", length_power: float = 0.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tilt_col: str | None = None) -> DataFrame:
+    """docs with every row repeated as often as the mix takes it, and all columns kept.
+
+    Nulls, ties and repeated rows are as in pareto_mix; each row has its own
+    number of copies. An empty table gives no rows. Columns may have any names.
     """
     work = Workspace(docs.sparkSession, "mix")
-    tilt = F.coalesce(F.col(tilt_col).cast("double"), F.lit(1.0)) if tilt_col else F.lit(1.0)
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("draw"), tilt.alias("tilt"))
-    rows = work.save(rows, "rows")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    base = common.numbered(docs, work)
+    tilt = common.place(docs, tilt_col) if tilt_col else F.lit(1.0)
+    rows = base.select("row_id", common.place(docs, id_col).alias("doc_id"), common.place(docs, source_col).alias("source"), common.place(docs, text_col).alias("text"), tilt.alias("tilt"))
+    copies = _mixed(rows, weights, share, most, seed, length_power, work).where("copies > 0").select("row_id", "copies")
+    each = base.join(copies, "row_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return common.restored(each, docs)
+
+
+def _mixed(rows: DataFrame, weights: list[float], share: float, most: float, seed: str, length_power: float, work: Workspace) -> DataFrame:
+    """pareto_mix over rows: row_id, doc_id, source, text, tilt."""
+    known = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string"))
+    draw = F.conv(F.substring(F.md5(known.cast("binary")), 1, 13), 16, 10).cast("long")
+    rows = work.save(rows.select("row_id", "doc_id", "source", word_count(F.col("text")).alias("size"), draw.alias("draw"), F.coalesce(F.col("tilt").cast("double"), F.lit(1.0)).alias("tilt")), "rows")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("docs"))
     targets = (
-        source_targets(sizes, weights, share, most)
+        source_targets(sizes, weights, share, most, work)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("part", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     )
     targets = work.save(targets, "targets")
     u = (F.col("draw") + 0.5) / float(1 << 52)
     p = F.greatest(F.least(F.col("part") / F.col("source_size"), F.lit(1.0 - 1e-12)), F.lit(1e-12))
-    odds = (u / (1.0 - u)) / (p / (1.0 - p) * F.col("tilt"))
-    # odds to a key that keeps their order: q / (1 + q) lies between 0 and 1
-    key = F.floor(odds / (1.0 + odds) * float(1 << 50)).cast("long") * (1 << (KEY_BITS - 50))
-    keyed = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select("doc_id", rows["source"], "size", "source_size", "target", "whole", "part", F.when(F.col("source_size") > 0, key).otherwise(F.lit(0)).alias("key"))
+    mean = F.col("source_size") / F.col("docs")
+    tilted = F.log("tilt") + length_power * (F.log(mean) - F.log(F.greatest("size", F.lit(1))))
+    log_rank = F.log(u) - F.log(1.0 - u) - F.log(p) + F.log(1.0 - p) - tilted
+    # logarithms keep the order and are spread evenly enough, however near p is to 0 or 1
+    within = F.greatest(F.least(log_rank, F.lit(HALF - 2.0**-40)), F.lit(-float(HALF)))
+    key = F.floor((within + HALF) * float(1 << (KEY_BITS - 8))).cast("long")
+    keyed = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select("row_id", "doc_id", rows["source"], "size", "source_size", "target", "whole", "part", F.when(F.col("source_size") > 0, key).otherwise(F.lit(0)).alias("key"))
     keyed = work.save(keyed, "keyed")
-    cuts = work.save(_find_cuts(keyed, targets, work), "cuts")
-    joined = keyed.join(cuts.withColumnRenamed("source", "cut_source"), F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    before = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.col("doc_id").eqNullSafe(F.col("cut_id")) | F.coalesce(F.col("doc_id") < F.col("cut_id"), F.col("doc_id").isNull())))
-    # rows that share key, id and size are one tie and go the same way
-    after_tie = (F.col("key") == F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("size") > F.col("cut_size"))
-    sampled = F.coalesce(before & ~after_tie, F.lit(False))
-    drawn = work.save(joined.select("doc_id", "source", "size", "source_size", "target", "whole", "part", "key", sampled.alias("sampled")), "drawn")
-    moves = _closing_moves(drawn).select(F.col("source").alias("__s"), F.col("m.key").alias("__k"), F.col("m.doc_id").alias("__d"), F.col("m.size").alias("__z"))
-    moved = (F.col("key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("size") == F.col("__z"))
-    final = drawn.join(moves, F.col("source").eqNullSafe(F.col("__s")), "left")
-    copies = F.col("whole") + (F.col("sampled") != F.coalesce(moved, F.lit(False))).cast("long")
-    return final.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    cuts = work.save(_find_cuts(keyed, targets, work).withColumnRenamed("source", "cut_source"), "cuts")
+    joined = keyed.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    sampled = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.col("row_id") <= F.col("cut_row")))
+    drawn = work.save(joined.select("row_id", "doc_id", "source", "size", "source_size", "target", "whole", "part", "key", F.coalesce(sampled, F.lit(False)).alias("sampled")), "drawn")
+    moves = work.save(_closing_moves(drawn), "moves")
+    final = drawn.join(moves, F.col("source").eqNullSafe(F.col("move_source")), "left")
+    moved = F.coalesce(F.col("row_id") == F.col("move_row"), F.lit(False))
+    copies = F.col("whole") + (F.col("sampled") != moved).cast("long")
+    return final.select("row_id", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def _closing_moves(drawn: DataFrame) -> DataFrame:
-    """source, m(key, doc_id, size): the document whose joining or leaving the sample brings its source nearest to the target, if any does.
+    """move_source, move_row: the document whose joining or leaving the sample brings its source nearest to the target, if any does.
 
     In a small source the document at the cut may be a large part of all words;
     this last move makes up for it.
     """
     taken = drawn.groupBy("source", "target").agg(F.sum(F.col("size") * (F.col("whole") + F.col("sampled").cast("long"))).alias("words"))
-    gaps = taken.select(F.col("source").alias("__s"), (F.col("target") - F.col("words")).alias("gap"))
-    each = drawn.where("part > 0").groupBy("source", "key", "doc_id", "size", "sampled").agg(F.sum("size").alias("words"))
-    open_ = each.join(gaps, F.col("source").eqNullSafe(F.col("__s")))
-    left = F.abs(F.col("gap") - F.when(F.col("sampled"), -F.col("words")).otherwise(F.col("words")))
+    gaps = taken.select(F.col("source").alias("move_source"), (F.col("target") - F.col("words")).alias("gap"))
+    each = drawn.where("part > 0 AND size > 0").select("source", "row_id", "key", "size", "sampled")
+    open_ = each.join(gaps, F.col("source").eqNullSafe(F.col("move_source")))
+    left = F.abs(F.col("gap") - F.when(F.col("sampled"), -F.col("size")).otherwise(F.col("size")))
     nearer = open_.withColumn("left", left).where(F.col("left") < F.abs("gap"))
-    return nearer.groupBy("source").agg(F.min_by(F.struct("key", "doc_id", "size"), F.struct("left", "key", "doc_id", "size")).alias("m"))
+    return nearer.groupBy("move_source").agg(F.min(F.struct("left", "key", "row_id")).alias("m")).select("move_source", F.col("m.row_id").alias("move_row"))
 
 
 def _find_cuts(keyed: DataFrame, targets: DataFrame, work: Workspace) -> DataFrame:
-    """The last document of each source's sample: source, cut_key, cut_id, cut_size; none where nothing is sampled."""
+    """The last document of each source's sample: source, cut_key, cut_row; none where nothing is sampled."""
     low = targets.where("part > 0").select("source", F.col("part").alias("need"), F.lit(0).cast("long").alias("low"))
     for shift in range(KEY_BITS - LEVEL_BITS, KEY_BITS - 4 * LEVEL_BITS, -LEVEL_BITS):
         inside = _within(keyed, low, shift + LEVEL_BITS)
@@ -143,32 +179,17 @@ def _find_cuts(keyed: DataFrame, targets: DataFrame, work: Workspace) -> DataFra
         need = F.coalesce(F.col("b.need") - (F.col("b.upto") - F.col("b.words")), F.col("z.need") - (F.col("all_words") - F.col("z.words")))
         low = work.save(found.select("source", need.alias("need"), F.shiftleft(b, shift).alias("low")), f"cuts{shift}")
     inside = _within(keyed, low, shift)
-    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
-    upto = inside.groupBy("source", "need", "key", "doc_id", "size").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(order))
+    upto = inside.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("key", "row_id")))
     # the document that crosses is taken if that comes nearer than stopping before it
-    near = upto.where((F.col("upto") <= F.col("need")) | (F.col("upto") - F.col("need") < F.col("need") - (F.col("upto") - F.col("words"))))
-    chosen = near.groupBy("source").agg(F.max(F.struct("upto", "key", "doc_id", "size")).alias("c"))
+    near = upto.where((F.col("upto") <= F.col("need")) | (F.col("upto") - F.col("need") < F.col("need") - (F.col("upto") - F.col("size"))))
+    chosen = near.groupBy("source").agg(F.max(F.struct("key", "row_id")).alias("c"))
     # where even the first document of the last range is too much, the cut lies before that range
     cut = low.join(chosen.withColumnRenamed("source", "chosen_source"), F.col("source").eqNullSafe(F.col("chosen_source")), "left")
-    return cut.select("source", F.coalesce("c.key", F.col("low") - 1).alias("cut_key"), F.col("c.doc_id").alias("cut_id"), F.coalesce("c.size", F.lit((1 << 62))).alias("cut_size"))
+    return cut.select("source", F.coalesce("c.key", F.col("low") - 1).alias("cut_key"), F.coalesce("c.row_id", F.lit((1 << 62))).alias("cut_row"))
 
 
 def _within(keyed: DataFrame, low: DataFrame, bits: int) -> DataFrame:
-    """Rows of keyed whose key shares its source's low end above the last ``bits`` bits."""
+    """Rows of keyed with a word whose key shares its source's low end above the last ``bits`` bits."""
     ends = low.withColumnRenamed("source", "low_source")
     same = keyed["source"].eqNullSafe(ends["low_source"]) & (F.shiftright(keyed["key"], bits) == F.shiftright(ends["low"], bits))
-    return keyed.join(ends, same).select("source", "key", "doc_id", "size", "need")
-
-
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it, and all columns kept.
-
-    Rows that share id, source and size are told apart by nothing and are
-    counted by pareto_mix one by one, so each gets the copies of its tie.
-    """
-    id_col, source_col, text_col = options.get("id_col", "doc_id"), options.get("source_col", "source"), options.get("text_col", "text")
-    mix = pareto_mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies"))
-    mix = mix.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), "__copies")
-    same = docs[id_col].eqNullSafe(F.col("__mix_id")) & docs[source_col].eqNullSafe(F.col("__mix_source")) & (word_count(docs[text_col]) == F.col("__mix_size"))
-    joined = docs.join(mix, same)
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    return keyed.where("size > 0").join(ends, same).select("source", "key", "row_id", "size", "need")

@@ -124,7 +124,11 @@ def _codec(ranks_path: str, pattern: str) -> PieceCodec:
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """docs with the ids of each whole text as array<int>; null counts as empty. Existing out_col is replaced."""
+    """docs with the ids of each whole text as array<int> in out_col, which replaces a column of that name.
+
+    A null text counts as empty and has no ids, like an empty one; other columns
+    and repeated rows are passed on; an empty table stays empty.
+    """
 
     @F.pandas_udf("array<int>")
     def ids(texts):
@@ -134,11 +138,15 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
         values = ["" if t is None else t for t in texts]
         return pd.Series([x for a, b in common.slices(values) for x in codec.encode(values[a:b])], index=texts.index, dtype=object)
 
-    return docs.withColumn(out_col, ids(F.col(text_col)))
+    return docs.withColumn(out_col, ids(common.named(text_col)))
 
 
 def bpe_decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """tokens with the bytes that ids_col stands for; null ids stay null."""
+    """tokens with the bytes that ids_col stands for in out_col, which replaces a column of that name.
+
+    Null ids stay null, no ids give no bytes; other columns and repeated rows
+    are passed on; an empty table stays empty.
+    """
 
     @F.pandas_udf("binary")
     def data(ids):
@@ -147,26 +155,25 @@ def bpe_decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str =
         codec = _codec(ranks_path, pattern)
         return pd.Series([None if x is None else codec.decode(list(x)) for x in ids], index=ids.index, dtype=object)
 
-    return tokens.withColumn(out_col, data(F.col(ids_col)))
+    return tokens.withColumn(out_col, data(common.named(ids_col)))
 
 
 def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, of ids that are encoded and decoded again in one pass.
 
-    A null text counts as empty; ids are not looked at, so repeated rows give
-    repeated results; an empty table gives none.
+    A null text counts as empty; ids are not looked at, may be of any type and
+    repeated, and repeated rows give repeated results; an empty table gives none.
     """
-    out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def digest(batches):
         codec = _codec(ranks_path, pattern)
         for batch in batches:
-            docs_, texts = common.column(batch, "doc_id"), ["" if t is None else t for t in common.column(batch, "text")]
+            texts = ["" if t is None else t for t in common.column(batch, "text")]
             for a, b in common.slices(texts):
                 all_ids = codec.encode(texts[a:b])
                 shown = [hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest() for ids in all_ids]
                 back = [hashlib.sha256(codec.decode(ids)).hexdigest() for ids in all_ids]
-                yield pa.record_batch([pa.array(docs_[a:b], pa.int64()), pa.array([len(x) for x in all_ids], pa.int64()), shown, back], out)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([len(x) for x in all_ids], pa.int64()), shown, back], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(common.named(id_col).alias("doc_id"), common.named(text_col).alias("text"))
+    return rows.mapInArrow(digest, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

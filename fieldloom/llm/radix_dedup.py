@@ -29,31 +29,53 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when their bytes are; null counts as empty. The row with the
     largest doc_id of a group stays; where rows share that doc_id too, exactly
-    one of them is kept. A null doc_id is below all others. An empty table gives
-    no rows; other columns are not read.
+    one of them is kept. Ids may be of any type that has an order; a null one is
+    below all others. An empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "radix")
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    level = work.save(
-        docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.lit(0).cast("long").alias("group"), text.alias("rest")),
-        "level0",
-    )
+    work = Workspace(docs.sparkSession, "radix")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), common.named(id_col).alias("doc_id"), common.named(text_col).alias("text"))
+    return _split_groups(work.save(_first_level(rows), "level0"), work, first_digit, growth)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each group of equal texts.
+
+    Which one is as in radix_groups: the largest id, one of those that share it,
+    so rows repeated whole leave one. A null text counts as empty. An empty table
+    gives no rows. Columns may have any names.
+    """
+    work = Workspace(docs.sparkSession, "radix")
+    rows = common.numbered(docs, work)
+    level = _first_level(rows.select("row_id", common.place(docs, id_col).alias("doc_id"), common.place(docs, text_col).alias("text")))
+    stay = _split_groups(level, work, FIRST_DIGIT, DIGIT_GROWTH).where("kept").select("row_id")
+    return common.restored(rows.join(stay, "row_id", "left_semi"), docs)
+
+
+def _first_level(rows: DataFrame) -> DataFrame:
+    """All rows (row_id, doc_id, text) in one group with their whole texts unread."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return rows.select("row_id", "doc_id", F.sha2(text, 256).alias("text_sha256"), F.lit(0).cast("long").alias("group"), text.alias("rest"))
+
+
+def _split_groups(level: DataFrame, work: Workspace, first_digit: int, growth: int) -> DataFrame:
+    """Splits the first level, a written table or one that reads one, until every group is done."""
     done: list[str] = []
     width, depth = first_digit, 0
     while True:
         digit = F.substring("rest", 1, width)
         keyed = level.select("row_id", "doc_id", "text_sha256", "group", digit.alias("digit"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
-        first = F.max(F.struct("doc_id", "row_id"))
-        groups = level.select("group", digit.alias("digit"), "doc_id", "row_id").groupBy("group", "digit").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1")
-        split = keyed.join(groups, ["group", "digit"], "left")
+        # the row of the largest id, and of no id where none has one; a written table, so that the join below can be split at a hot group
+        counted = level.select("group", digit.alias("digit"), "doc_id", "row_id").groupBy("group", "digit")
+        groups = counted.agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("first_id"), F.coalesce(F.max_by("row_id", "doc_id"), F.max("row_id")).alias("first_row")).where("n > 1")
+        groups = work.save(groups, f"groups{depth}")
+        split = keyed.join(groups.hint("merge"), ["group", "digit"], "left")
         alone, ended = F.col("n").isNull(), F.octet_length("digit") < width
         state = split.select(
             "row_id",
             "doc_id",
             "text_sha256",
-            F.coalesce(F.col("first.row_id"), F.col("row_id")).alias("group"),
-            F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
+            F.coalesce("first_row", "row_id").alias("group"),
+            F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("keep_id"),
             F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
             F.when(~(alone | ended), F.col("rest")).alias("rest"),
             F.when(alone | ended, "done").otherwise("open").alias("state"),
@@ -61,27 +83,14 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         path = work.path(f"split{depth}")
         state.write.mode("overwrite").partitionBy("state").parquet(path)
         done.append(path)
-        if depth:
-            work.drop(f"split{depth - 1}/state=open")
-        else:
-            work.drop("level0")
+        work.drop(f"split{depth - 1}/state=open" if depth else "level0", f"groups{depth}")
         schema = state.schema
-        level = spark.read.schema(schema).parquet(path).where("state = 'open'").select("row_id", "doc_id", "text_sha256", "group", "rest")
+        level = work.spark.read.schema(schema).parquet(path).where("state = 'open'").select("row_id", "doc_id", "text_sha256", "group", "rest")
         if level.isEmpty():
             break
         width, depth = width * growth, depth + 1
     finished = None
     for path in done:
-        part = spark.read.schema(schema).parquet(path).where("state = 'done'")
+        part = work.spark.read.schema(schema).parquet(path).where("state = 'done'")
         finished = part if finished is None else finished.unionByName(part)
     return finished.select("doc_id", "keep_id", "group_size", (F.col("group") == F.col("row_id")).alias("kept"), "text_sha256", "row_id")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each group of equal texts.
-
-    Rows come back by their doc_id; rows of one doc_id and one text count as
-    copies of each other, and one of them stays.
-    """
-    stay = radix_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stay_id"), F.unhex("text_sha256").alias("__stay_text"))
-    return common.matching_rows(docs, stay, id_col, text_col)

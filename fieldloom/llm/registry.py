@@ -24,15 +24,14 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 LM_FOLDS, LANG_FOLDS, LANG_HELD = 10, 4, 2
 PIECES = "piece_bpe_32k.model"
 WORD_BPE, TOKEN_LIMIT = "word_bpe_49k.json", 2048
-MIX = {"weights": [3, 1, 2], "share": 1.5, "most": 2.0, "seed": "mix"}
+MIX = {"weights": [3, 1, 2], "share": 1.5, "most": 2.0, "seed": "mix", "length_power": 0.5}
 SHARDS = 16
 TOP_K, QUERY_EVERY = 20, 20
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    out = Workspace(spark, "token_files").path("shards")
-    uri = out if "://" in out else f"file://{out.removeprefix('file:')}"
+    uri = Workspace(spark, "token_files").uri("shards")
     manifest = write_token_shards(docs, uri, public_tokenizers.path(BYTE_BPE), BYTE_BPE_IDS, END_ID)
     return read_token_shards(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 

@@ -80,18 +80,17 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int, id_col: str =
     """Per row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     A null text counts as empty; special strings inside a text count as the
-    library counts them; repeated rows give repeated results; an empty table
-    gives none; other columns are not read.
+    library counts them; ids may be of any type, null or repeated; repeated rows
+    give repeated results; an empty table gives none; other columns are not read.
     """
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def count(batches):
         counter = common.per_process(f"counts:{tokenizer_path}", lambda: WordCounter(tokenizer_path))
         for batch in batches:
-            ids, texts = common.column(batch, "doc_id"), ["" if t is None else t for t in common.column(batch, "text")]
+            texts = ["" if t is None else t for t in common.column(batch, "text")]
             for a, b in common.slices(texts):
                 n = counter.count(texts[a:b])
-                yield pa.record_batch([pa.array(ids[a:b], pa.int64()), pa.array([len(common.utf8(t)) for t in texts[a:b]], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], out)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([len(common.utf8(t)) for t in texts[a:b]], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    rows = docs.select(common.named(id_col).alias("doc_id"), common.named(text_col).alias("text"))
+    return rows.mapInArrow(count, f"doc_id {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
