@@ -39,6 +39,14 @@ def per_process(key: str, make: Callable[[], object]) -> object:
     return store[key]
 
 
+def per_process_child(key: str, make: Callable[[], object]) -> object:
+    """make(), kept in this Python process beside whatever per_process() holds: for small things only."""
+    store = sys.modules.setdefault("_fieldloom_small", types.ModuleType("_fieldloom_small")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 class Memo(dict):
     """A dict of bounded size that keeps what was used of late; only speed depends on it.
 

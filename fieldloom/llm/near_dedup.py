@@ -5,6 +5,9 @@ whose rate is the shingle's weight; each arrival falls on one of K registers,
 and a register keeps the shingle that came first. Two texts agree on a register
 with the probability Jaccard similarity of their weighted shingles. A shingle's
 process ends as soon as its next arrival is later than every register's first.
+Links are told by the Jaccard similarity of shingle sets, so here each distinct
+shingle weighs 1, however often it occurs: the probability Jaccard similarity is
+then that very number, and candidates and links go by one measure.
 
 Registers are cut into bands, and texts that share a band are candidates. Of
 the candidates, every link is found that joins different classes:
@@ -16,7 +19,7 @@ the candidates, every link is found that joins different classes:
    size, members outside the largest class against all others, by an inverted
    index over their shingles; only links between different classes come out.
 
-Links are exact: the Jaccard similarity of the sets of (32-bit) shingle ids.
+Links are exact: the Jaccard similarity of the sets of 64-bit shingle ids.
 Joins whose sides grow with the corpus ask for a sort-merge join at every size,
 so that a small input runs the same plan as a large one.
 """
@@ -112,12 +115,6 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def weigh(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles and their weights: 1 plus the logarithm of how often they occur."""
-    ids, n = np.unique(shingles, return_counts=True)
-    return ids, 1.0 + np.log(n)
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted arrays of distinct values."""
     if not len(a) or not len(b):
@@ -140,7 +137,7 @@ def block_links(queries: list[tuple[int, int, np.ndarray]], others: list[tuple[i
         return c
 
     sizes = np.array([len(s) for _, _, s in others], np.int64)
-    flat = np.concatenate([s for _, _, s in others]) if others else np.empty(0, np.uint32)
+    flat = np.concatenate([s for _, _, s in others]) if others else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(others)), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
@@ -167,27 +164,45 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal texts are of one class; so are texts joined by links of ``similarity``
     or more. A text of fewer words than a shingle has one shingle, its words; a
     null or empty text has none and equals only other empty texts. The row kept
-    has the class's least doc_id, a null one being below all. Rows that share an
-    id stay apart by row_id. An empty table gives no rows.
+    has the class's least doc_id, a null one being below all. Ids may be of any
+    type that has an order; rows that share one stay apart by row_id. An empty
+    table gives no rows; other columns are not read.
+    """
+    work = Workspace(docs.sparkSession, "near")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), common.named(id_col).alias("doc_id"), F.coalesce(common.named(text_col), F.lit("")).alias("text"))
+    return _classes(work.save(rows, "texts_read"), width, similarity, bands, band_rows, block, work)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each near-duplicate class.
+
+    Nulls, empty texts, ties and repeated rows are as in near_classes. An empty
+    table gives no rows. Columns may have any names.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "near")
+    work = Workspace(docs.sparkSession, "near")
+    base = common.numbered(docs, work)
+    rows = base.select("row_id", common.place(docs, id_col).alias("doc_id"), F.coalesce(common.place(docs, text_col), F.lit("")).alias("text"))
+    stay = _classes(rows, width, similarity, bands, band_rows, block, work).where("kept").select("row_id")
+    return common.restored(base.join(stay, "row_id", "left_semi"), docs)
+
+
+def _classes(read: DataFrame, width: int, similarity: float, bands: int, band_rows: int, block: int, work: Workspace) -> DataFrame:
+    """near_classes over a written table of row_id, doc_id, text (not null)."""
     k = bands * band_rows
-    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("text", pa.string())])
 
     def sign(batches):
         shingler = common.per_process("shingler", Shingler)
         for batch in batches:
-            ids, texts = common.column(batch, "row_id"), common.column(batch, "text")
+            texts = common.column(batch, "text")
             for a, b in common.slices(texts):
-                weighed = [weigh(s) for s in shingler.shingles(texts[a:b], width)]
-                keys = band_keys(prob_min_hash([s for s, _ in weighed], [w for _, w in weighed], k), bands, band_rows)
-                shown = [list(x) if len(s) else [] for x, (s, _) in zip(keys, weighed, strict=True)]
+                sets = [np.unique(s) for s in shingler.shingles(texts[a:b], width)]
+                keys = band_keys(prob_min_hash(sets, [np.ones(len(s)) for s in sets], k), bands, band_rows)
+                shown = [list(x) if len(s) else [] for x, s in zip(keys, sets, strict=True)]
                 digests = [hashlib.sha256(common.utf8(t)).digest() for t in texts[a:b]]
-                yield pa.record_batch([pa.array(ids[a:b], pa.int64()), pa.array(common.column(batch, "doc_id")[a:b], pa.int64()), pa.array(digests, pa.binary()), pa.array(shown, pa.list_(pa.int64())), pa.array(texts[a:b])], schema)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digests, pa.binary()), pa.array(shown, pa.list_(pa.int64()))], names=["row_id", "doc_id", "text_key", "bands"])
 
-    source = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = work.save(source.mapInArrow(sign, "row_id long, doc_id long, text_key binary, bands array<long>, text string"), "rows")
+    kind = read.schema["doc_id"].dataType.simpleString()
+    rows = work.save(read.select("row_id", "doc_id", "text").mapInArrow(sign, f"row_id long, doc_id {kind}, text_key binary, bands array<long>"), "rows")
 
     # one text stands for all its copies
     first = F.min(F.struct("doc_id", "row_id"))
@@ -200,7 +215,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # 1. stars
     stars = work.save(shared.where("rep <> pivot").select("rep", "pivot").distinct(), "stars")
     wanted = stars.select("rep").union(stars.select("pivot")).distinct()
-    sets = work.save(_shingle_sets(rows.select(F.col("row_id").alias("rep"), "text").join(wanted.hint("merge"), "rep"), width), "sets")
+    sets = work.save(_shingle_sets(read.select(F.col("row_id").alias("rep"), "text").join(wanted.hint("merge"), "rep"), width), "sets")
     links = work.save(_verified(stars, sets, similarity), "star_links")
     roots = components(links, work, "stars")
 
@@ -221,7 +236,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """rep with its sorted distinct 32-bit shingle ids, as bytes."""
+    """rep with its sorted distinct 64-bit shingle ids, as bytes."""
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
 
     def make(batches):
@@ -229,7 +244,7 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             ids, values = common.column(batch, "rep"), common.column(batch, "text")
             for a, b in common.slices(values):
-                found = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in shingler.shingles(values[a:b], width)]
+                found = [np.unique(s).tobytes() for s in shingler.shingles(values[a:b], width)]
                 yield pa.record_batch([pa.array(ids[a:b], pa.int64()), pa.array(found, pa.binary())], schema)
 
     return texts.select("rep", "text").mapInArrow(make, "rep long, shingles binary")
@@ -244,7 +259,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             a, b = [], []
             for rep, pivot, mine, other in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("rep", "pivot", "mine", "other")), strict=True):
                 # sets of very different size cannot be alike enough
-                if min(len(mine), len(other)) >= least * max(len(mine), len(other)) and jaccard(np.frombuffer(mine, np.uint32), np.frombuffer(other, np.uint32)) >= least:
+                if min(len(mine), len(other)) >= least * max(len(mine), len(other)) and jaccard(np.frombuffer(mine, np.uint64), np.frombuffer(other, np.uint64)) >= least:
                     a.append(rep)
                     b.append(pivot)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema)
@@ -274,7 +289,7 @@ def _family_links(members: DataFrame, sets: DataFrame, least: float, block: int,
                 if key != (family, q, o):
                     found += block_links(queries, others, least)
                     key, queries, others = (family, q, o), [], []
-                (queries if query else others).append((rep, label, np.frombuffer(data, np.uint32)))
+                (queries if query else others).append((rep, label, np.frombuffer(data, np.uint64)))
             if found:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema)
                 found = []
@@ -285,15 +300,6 @@ def _family_links(members: DataFrame, sets: DataFrame, least: float, block: int,
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each near-duplicate class.
-
-    Rows are told apart by id and text; of rows that share both, one stays.
-    """
-    stay = near_classes(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__stay_id"), F.col("text_key").alias("__stay_text"))
-    return common.matching_rows(docs, stay, id_col, text_col)
-
-
 def recall_at(similarity: float, bands: int = BANDS, band_rows: int = BAND_ROWS) -> float:
     """Chance that two texts of this similarity share a band."""
     return 1.0 - math.pow(1.0 - similarity**band_rows, bands)

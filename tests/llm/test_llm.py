@@ -232,6 +232,57 @@ def test_mix(docs, empty):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
 
 
+def brute_sample(table, seed, share, most, power):
+    """One source of weight 1: taken words by document, from the method's definition."""
+    import xxhash
+
+    sizes = {i: len(t.split()) for i, t in table}
+    total = sum(sizes.values())
+    target = min(share, most) * total
+    whole = math.floor(target / total)
+    part = target - whole * total
+    p, mean = part / total, total / len(table)
+    ranks = []
+    for i, t in table:
+        text_hash = xxhash.xxh64_intdigest(t.encode(), 42)
+        text_hash -= 2**64 if text_hash >= 2**63 else 0
+        u = (int(hashlib.md5(f"{seed}|{i}|{text_hash}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        ranks.append((u / (1 - u) / (p / (1 - p) * (mean / sizes[i]) ** power), i))
+    ranks.sort()
+    best, upto, cut = part, 0, 0
+    for k, (_, i) in enumerate(ranks, 1):
+        upto += sizes[i]
+        if abs(part - upto) < best:
+            best, cut = abs(part - upto), k
+    chosen = {i for _, i in ranks[:cut]}
+    gap = part - sum(sizes[i] for i in chosen)
+    moves = [(abs(gap + (sizes[i] if i in chosen else -sizes[i])), r, i) for r, i in ranks]
+    moves = [m for m in moves if m[0] < abs(gap)]
+    if moves:
+        chosen ^= {min(moves)[2]}
+    return {i: sizes[i] * (whole + (i in chosen)) for i in sizes}
+
+
+@pytest.mark.parametrize("share", [0.3, 0.999, 1.5])
+def test_mix_equals_brute_force_sample(spark, share):
+    import random
+
+    rnd = random.Random(13)
+    table = [(i, " ".join(f"w{rnd.randrange(50)}" for _ in range(rnd.choice([3, 20, 150])))) for i in range(400)]
+    df = spark.createDataFrame([(*r, "s") for r in table], "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: r.taken for r in mixing.pareto_mix(df, [1], share, length_power=0.5).collect()}
+    assert got == brute_sample(table, "mix", share, 2.0, 0.5)
+
+
+def test_many_sources(spark):
+    table = [(i, "w " * (1 + i % 7), None if i % 97 == 0 else f"s{i % 211}") for i in range(3000)]
+    total, target = mix_brute([(i, t, None, s, 0) for i, t, s in table], [3, 1, 2], 1.5, 2.0)
+    got = mixing.pareto_mix(spark.createDataFrame(table, "doc_id long, text string, source string").repartition(5), **registry.MIX).collect()
+    assert len(got) == 3000
+    for r in got:
+        assert r.source_size == total[r.source] and r.target == pytest.approx(target[r.source])
+
+
 def test_mix_tilt_prefers_likely_documents(spark):
     table = [(i, "a b c", "s", 9.0 if i % 2 else 1.0) for i in range(2000)]
     df = spark.createDataFrame(table, "doc_id long, text string, source string, odds double")
@@ -305,6 +356,46 @@ def test_near_classes(spark, block):
     assert all(r.kept == (r.doc_id == r.class_id) and r.class_size == want.count(want[[t[0] for t in table].index(r.doc_id)]) for r in got.values())
 
 
+def test_near_recall_on_repeated_passages(spark):
+    """Pairs of set similarity just above 0.8, one of each repeating a fifth of its shingles 200 times."""
+    table = []
+    for pair in range(150):
+        words = [f"p{pair}w{k}" for k in range(94)]
+        changed = [*words[:-5], *(f"q{pair}w{k}" for k in range(5))]
+        table += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join([*changed, *([" ".join(words[:20])] * 200)]))]
+    want = brute_classes(table)
+    linked = sum(want[2 * k] == want[2 * k + 1] for k in range(150))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    found = sum(got[2 * k] == got[2 * k + 1] for k in range(150) if want[2 * k] == want[2 * k + 1])
+    assert linked == 150 and found >= 0.97 * linked
+
+
+ODD_NAMES = "`a.b` string, `__copies` long, `__mix_id` long, `__stay_id` string, `row_id` long, `c0` string, doc_id string, text string, source string, lang string"
+
+
+def odd_named(spark):
+    table = [("x", 1, 2, "s", 7, "c", i, t, s, "en") for i, t, s in (("id-1", "one two three", "a"), ("id-2", "one two three", "a"), (None, "four five", None), ("id-3", None, "b"), ("id-3", "", "b"))]
+    return spark.createDataFrame(table, ODD_NAMES)
+
+
+def test_any_column_names_and_string_ids(spark):
+    odd = odd_named(spark)
+    for f in (radix_dedup.exact_dedup, near_dedup.near_dedup):
+        kept = f(odd)
+        assert kept.columns == odd.columns and sorted((r.text or "") for r in kept.collect()) == ["", "four five", "one two three"]
+    mixed = mixing.mix_documents(odd, **registry.MIX)
+    assert mixed.columns == odd.columns
+    assert {r.keep_id for r in radix_dedup.radix_groups(odd).collect()} == {"id-2", None, "id-3"}
+    assert {r.class_id for r in near_dedup.near_classes(odd).collect()} == {"id-1", None, "id-3"}
+    path = P.path(registry.PIECES)
+    model = language_id.fit_language_model(odd, path)
+    assert language_id.accept_known_language(odd, model, path).columns == odd.columns
+    assert {r.doc_id for r in language_id.predict_language(odd, model, path).collect()} == {"id-1", "id-2", "id-3", None}
+    assert {r.doc_id for r in token_counts.token_counts(odd, P.path(registry.WORD_BPE), 5).collect()} == {"id-1", "id-2", "id-3", None}
+    assert {r.doc_id for r in piece_model.bpe_round_trip(odd, P.path(registry.RANKS), P.PATTERN).collect()} == {"id-1", "id-2", "id-3", None}
+    assert piece_model.bpe_encode(odd, P.path(registry.RANKS), P.PATTERN).columns == [*odd.columns, "token_ids"]
+
+
 def test_near_odd_rows(docs, empty):
     got = near_dedup.near_classes(docs).collect()
     assert len(got) == len(rows())
@@ -381,13 +472,74 @@ def test_forward_sums_all_segmentations():
             return np.ones(2)
         return sum(probs[pieces.ids[word[:k]]] * total(word[k:]) for k in range(1, len(word) + 1) if word[:k] in pieces.ids)
 
-    words = [b" the", b" abc", b" \xc3\xa9t"]
+    words = [b" the", b" abc", " ét".encode()]
     alpha = language_id.forward(pieces.edges(words), 4, 3, probs)[4]
     beta = language_id.backward(pieces.edges(words), 4, 3, probs)[0]
     for k, w in enumerate(words):
         assert alpha[k] == pytest.approx(total(w)) and beta[k] == pytest.approx(total(w))
 
 
+def decimal_log(pieces, probs, word):
+    """Natural logarithm of the sum over all segmentations, in 60 digits."""
+    import decimal
+
+    with decimal.localcontext(decimal.Context(prec=60)):
+        alpha = [decimal.Decimal(1)] + [decimal.Decimal(0)] * len(word)
+        for stop in range(1, len(word) + 1):
+            for start in range(stop):
+                if word[start:stop] in pieces.ids:
+                    alpha[stop] += alpha[start] * decimal.Decimal(float(probs[pieces.ids[word[start:stop]]]))
+        return float(alpha[-1].ln())
+
+
+def test_language_scores_of_long_words():
+    pieces = language_id.Pieces(P.path(registry.PIECES))
+    rng = np.random.default_rng(9)
+    log_probs = rng.uniform(-20, -8, (pieces.size, 2))
+    scorer = language_id.Scorer(pieces, log_probs)
+    words = ["cat", "donaudampfschifffahrtsgesellschaft" * 6, "これは日本語の文章です" * 8, "x" * 300, "straße"]
+    got = scorer.score_words([w.encode() for w in words])
+    for k, w in enumerate(words):
+        for lang in (0, 1):
+            assert got[k][lang] == pytest.approx(decimal_log(pieces, np.exp(log_probs[:, lang]), b" " + w.encode()), rel=1e-9)
+    # one pass in logarithms, one in plain numbers
+    for w in (b" cat", " straße".encode()):
+        assert language_id.log_forward(pieces, w, log_probs) == pytest.approx(scorer.score_words([w[1:]])[0])
+    ids, share = language_id.log_expectations(pieces, b" cat", log_probs[:, 0])
+    assert sum(len(t) * s for t, s in ((next(t for t, k in pieces.ids.items() if k == i), s) for i, s in zip(ids, share, strict=True))) == pytest.approx(4)
+
+
+def test_language_words_are_letter_runs():
+    assert [w.decode() for t in language_id.tokens_of("“Hello”… ١٢ l’été नमस्ते x2y") for w in language_id.words_in(t)] == ["hello", "l", "été", "नमस्ते", "x", "y"]
+    assert [x for t in language_id.tokens_of("— ١٢ …") for x in language_id.words_in(t)] == []
+
+
+def test_language_predictions_equal_brute_force(spark):
+    path = P.path(registry.PIECES)
+    rng = np.random.default_rng(10)
+    pieces = language_id.Pieces(path)
+    model = {"langs": ["a", "b", "c"], "log_probs": rng.uniform(-14, -6, (pieces.size, 3)).astype(np.float32).astype(float), "log_prior": np.log([0.5, 0.3, 0.2])}
+    texts = ["the cat", "über den Wolken", "日本語日本語日本語" * 9, "Pneumonoultramicroscopicsilicovolcanoconiosis " * 3, "a", None, "1 2", "z" * 90]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, `the.text` string")
+    got = {r.doc_id: r for r in language_id.predict_language(df, model, path, "id", "the.text").collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        x = model["log_prior"] + [sum(decimal_log(pieces, np.exp(model["log_probs"][:, k]), b" " + w.encode()) for w in words) for k in range(3)]
+        share = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        assert got[i].lang_pred == "abc"[int(x.argmax())] and got[i].score == pytest.approx(share.max(), rel=1e-6)
+
+
+def test_unlearned_scripts_go_and_short_shared_words_stay(spark):
+    path = P.path(registry.PIECES)
+    table = [(k, "no la casa el agua " * 20, "es") for k in range(20)] + [(100 + k, "no the house of water " * 20, "en") for k in range(20)]
+    model = language_id.fit_language_model(spark.createDataFrame(table, "doc_id long, text string, lang string"), path)
+    test = spark.createDataFrame([(1, "no"), (2, "日本語の文章です。" * 30), (3, "the house"), (4, None), (5, "12")], "doc_id long, text string")
+    assert {r.doc_id for r in language_id.accept_known_language(test, model, path).collect()} == {1, 3}
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
