@@ -1,136 +1,187 @@
 """Sharding by histogram sort.
 
-Documents are ordered by a key: the checksum of the text first, so that equal
-texts lie together, then a hash of the id. Splitters cut that order into shards
-of nearly equal bytes. They are found by counting: each round counts the exact
-bytes below a set of probes, in all partitions at once, and keeps for each
-splitter the two probes around its goal, until one meets the tolerance. Probes
-fall between groups of equal texts as long as the tolerance can be met there.
-Only then are rows exchanged, once.
+Documents are ordered by a key, a hash of the text, so that equal texts lie
+together, and splitters cut that order into shards of nearly equal bytes. They
+are found by counting: each round counts the exact bytes below a set of probes,
+in all partitions at once, and keeps for each splitter the two probes around its
+goal, until one meets the tolerance. Only then are rows exchanged, once.
+
+A probe falls between groups of equal texts, never within one. So that large
+groups don't keep splitters from their goals, groups above the tolerance (no
+more than n_shards / tolerance can be) are placed first, largest first, each in
+the shard that is emptiest, and the goals are what then is missing in each
+shard. Only a group larger than a whole shard is dealt out by row.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.llm import common
 from fieldloom.session import Workspace
 
-GROUP_BITS, KEY_BITS = 31, 63
+KEY_BITS = 62
 TOLERANCE = 0.002
 PROBES = 1024
-PART_BYTES = 64 << 20
+#: Rows that one task numbers, about.
+PART_ROWS = 1 << 20
+#: Bins into which a group larger than a shard is dealt, for each shard it fills.
+BINS = 8
+_SUB = 1 << 24
 
 
-def shard_key(text: Column, doc_id: Column) -> Column:
-    """A 63-bit key; rows of equal text share the high 32 bits."""
-    checksum = F.crc32(text.cast("binary"))
-    return F.shiftleft(checksum, GROUP_BITS).bitwiseOR(F.xxhash64(doc_id).bitwiseAND(F.lit((1 << GROUP_BITS) - 1)))
-
-
-def histogram(rows: DataFrame, cuts: list[int]) -> list[tuple[int, int]]:
-    """(bytes, rows) of the keys from each cut to the next, the first entry being those below all cuts.
+def histogram(rows: DataFrame, cuts: list[int]) -> list[int]:
+    """Bytes of the keys from each cut to the next, the first entry being those below all cuts.
 
     Each partition counts its own rows; at most a count per cut and partition is
-    exchanged.
+    exchanged. rows: key, size.
     """
     edges = np.array(cuts, np.int64)
-    schema = pa.schema([("bin", pa.int32()), ("bytes", pa.int64()), ("rows", pa.int64())])
+    schema = pa.schema([("bin", pa.int32()), ("bytes", pa.int64())])
 
     def count(batches):
-        sizes, n = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
+        sizes = np.zeros(len(edges) + 1, np.int64)
         for batch in batches:
-            at = np.searchsorted(edges, batch.column(0).to_numpy(), side="right")
-            np.add.at(sizes, at, batch.column(1).to_numpy())
-            n += np.bincount(at, minlength=len(n))
-        some = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(some, pa.int32()), pa.array(sizes[some]), pa.array(n[some])], schema)
+            np.add.at(sizes, np.searchsorted(edges, batch.column(0).to_numpy(), side="right"), batch.column(1).to_numpy())
+        some = np.flatnonzero(sizes)
+        yield pa.record_batch([pa.array(some, pa.int32()), pa.array(sizes[some])], schema)
 
-    counted = rows.select("key", "size").mapInArrow(count, "bin int, bytes long, rows long")
-    found = {r[0]: (r[1], r[2]) for r in counted.groupBy("bin").agg(F.sum("bytes"), F.sum("rows")).collect()}
-    return [found.get(i, (0, 0)) for i in range(len(cuts) + 1)]
+    counted = rows.select("key", "size").mapInArrow(count, "bin int, bytes long")
+    found = {r[0]: r[1] for r in counted.groupBy("bin").agg(F.sum("bytes")).collect()}
+    return [found.get(i, 0) for i in range(len(cuts) + 1)]
 
 
 def find_splitters(rows: DataFrame, goals: list[float], tolerance: float, probes: int = PROBES) -> list[int]:
     """A key for each ascending goal such that the bytes of all smaller keys meet the goal.
 
-    They do so within ``tolerance``, or as near as a cut between rows can come.
-    rows: key, size. The driver holds at most ``probes`` counts per goal.
+    They do so within ``tolerance``, or as near as a cut between two keys can
+    come. rows: key, size. The driver holds at most ``probes`` counts per goal.
     """
-    step = 1 << GROUP_BITS
-    # per goal, the largest key known to be at or below it and the least above it, each with (bytes, rows) below the key
-    low: list[tuple[int, int, int]] = [(0, 0, 0)] * len(goals)
-    high: list[tuple[int, int, int] | None] = [None] * len(goals)
+    # per goal, the largest key known to be at or below it and the least above it, each with the bytes below the key
+    low, high = [(0, 0)] * len(goals), [(1 << KEY_BITS, None)] * len(goals)
     found: list[int | None] = [None] * len(goals)
     while None in found:
         asked: set[int] = set()
         for g in range(len(goals)):
             if found[g] is None:
-                a, b = low[g][0], high[g][0] if high[g] else 1 << KEY_BITS
-                unit = step if b - a > step else 1
-                width = max(unit, -(-(b - a) // (probes + 1)) // unit * unit)
-                asked.update(range(a + width, b, width))
+                a, b = low[g][0], high[g][0]
+                asked.update(range(a, b, max(1, -(-(b - a) // (probes + 1)))))
         cuts = sorted(asked)
-        below, size, n = [], 0, 0
-        for more, rows_more in histogram(rows, cuts) if cuts else []:
-            size, n = size + more, n + rows_more
-            below.append((size, n))
+        sizes = histogram(rows, cuts)
+        below = list(itertools.accumulate(sizes[:-1]))
         for g, goal in enumerate(goals):
             if found[g] is not None:
                 continue
             # bytes grow with the cut, so the goal lies between two neighbouring cuts
-            at = bisect.bisect_right(below, goal, hi=len(cuts), key=lambda x: x[0])
-            if at and cuts[at - 1] > low[g][0]:
-                low[g] = (cuts[at - 1], *below[at - 1])
-            if at < len(cuts) and (high[g] is None or cuts[at] < high[g][0]):
-                high[g] = (cuts[at], *below[at])
-            if high[g] is None:
-                high[g] = (1 << KEY_BITS, *below[-1]) if below else (1 << KEY_BITS, 0, 0)
+            at = bisect.bisect_right(below, goal)
+            if at and cuts[at - 1] >= low[g][0]:
+                low[g] = (cuts[at - 1], below[at - 1])
+            if at < len(cuts) and cuts[at] < high[g][0]:
+                high[g] = (cuts[at], below[at])
+            elif high[g][1] is None:
+                high[g] = (high[g][0], sum(sizes))
             best = min(low[g], high[g], key=lambda x: abs(x[1] - goal))
-            alone = high[g][2] - low[g][2] <= 1 or high[g][0] - low[g][0] <= 1
-            if abs(best[1] - goal) <= tolerance or alone:
-                found[g] = min(best[0], (1 << KEY_BITS) - 1)
+            if abs(best[1] - goal) <= tolerance or high[g][0] - low[g][0] <= 1:
+                found[g] = best[0]
     return [x for x in found if x is not None]
 
 
-def shard_documents(docs: DataFrame, n_shards: int, tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spread(sizes: list[tuple[int, object]], n: int) -> tuple[dict, list[int]]:
+    """Where each of (bytes, name) goes, largest first to the emptiest of n shards, and what the shards then hold."""
+    heap = [(0, k) for k in range(n)]
+    at = {}
+    for size, name in sorted(sizes, key=lambda x: (-x[0], x[1])):
+        load, k = heapq.heappop(heap)
+        at[name] = k
+        heapq.heappush(heap, (load + size, k))
+    return at, [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
+def fill(loads: list[int], more: int) -> list[float]:
+    """What each shard gets of ``more`` bytes so that the least full ones end equally full."""
+    order = sorted(loads)
+    for k in range(1, len(order) + 1):
+        level = (more + sum(order[:k])) / k
+        if k == len(order) or level <= order[k]:
+            break
+    return [max(0.0, level - x) for x in loads]
+
+
+def shard_documents(docs: DataFrame, n_shards: int, tolerance: float = TOLERANCE, part_rows: int = PART_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, size (bytes of the text plus 1), text_crc32, shard, slot.
 
     Shard totals of ``size`` differ from equal parts by at most ``tolerance`` of
-    a part at either end, or by one row where rows are larger than that. Equal
-    texts share a shard unless the tolerance leaves no place to cut but within
-    them. Slots count from 0 without gaps within each shard. Null texts have
-    size 1; null ids are one id; rows alike in text and id get neighbouring
-    slots. An empty table gives no rows; other columns are not read.
+    a part at either end, while equal texts share a shard. Where groups of equal
+    texts are too large for that, shards are as even as placing the largest
+    first makes them (at most the largest group above an equal part). A group
+    above an equal part itself is spread over shards by its ids, by its rows
+    where ids repeat. Slots count from 0 without gaps within each shard. Null
+    texts have size 1; ids may be null, repeated or of any type. An empty table
+    gives no rows; other columns are not read.
     """
-    work = Workspace(docs.sparkSession, "shards")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), shard_key(text, F.col(id_col)).alias("key"))
+    spark = docs.sparkSession
+    work = Workspace(spark, "shards")
+    text = F.coalesce(common.named(text_col), F.lit(""))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row_id"),
+        common.named(id_col).alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.shiftrightunsigned(F.xxhash64(text), 64 - KEY_BITS).alias("key"),
+        F.xxhash64(common.named(id_col)).alias("tie"),
+    )
     rows = work.save(rows, "rows")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    shard_cuts = find_splitters(rows, [total * k / n_shards for k in range(1, n_shards)], tolerance * total / n_shards)
-    # each shard is cut further into parts that one task sorts; those need no tight goal
-    per_shard = max(1, -(-total // (n_shards * part_bytes)))
-    goals = [total * k / (n_shards * per_shard) for k in range(1, n_shards * per_shard) if k % per_shard]
-    part_cuts = sorted({*shard_cuts, *(find_splitters(rows, goals, part_bytes / 10, 16) if goals else ())})
-    shard_of = [bisect.bisect_right(shard_cuts, k) for k in [0, *part_cuts]]
-    base, taken = [], dict.fromkeys(range(n_shards), 0)
-    for shard, (_, n) in zip(shard_of, histogram(rows, part_cuts), strict=True):
-        base.append(taken[shard])
-        taken[shard] += n
-    edges, shards, bases = np.array(part_cuts, np.int64), np.array(shard_of, np.int32), np.array(base, np.int64)
-
-    def place(batches):
-        for batch in batches:
-            part = np.searchsorted(edges, batch.column(batch.schema.get_field_index("key")).to_numpy(), side="right")
-            names = [*batch.schema.names, "part", "shard", "base"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array(shards[part]), pa.array(bases[part])], names=names)
-
-    placed = rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, key long, part int, shard int, base long")
-    order = Window.partitionBy("part").orderBy("key", F.col("doc_id").asc_nulls_first())
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    mean = total / n_shards
+    # at most n_shards / tolerance groups have so many bytes
+    heavy = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).where(F.col("bytes") > tolerance * mean).collect()
+    whole = [(r.bytes, (r.key, 0)) for r in heavy if r.bytes <= mean]
+    dealt: dict[int, tuple[int, bool]] = {}
+    wide = {r.key: max(2, BINS * round(r.bytes / mean)) for r in heavy if r.bytes > mean}
+    for by_row in (False, True):
+        left = {k: bins for k, bins in wide.items() if k not in dealt}
+        if left:
+            table = spark.createDataFrame([(k, bins, by_row) for k, bins in left.items()], "key long, bins int, by_row boolean")
+            found = rows.join(F.broadcast(table), "key").groupBy("key", _bin()).agg(F.sum("size").alias("bytes")).collect()
+            for k, bins in left.items():
+                parts = [(r.bytes, (k, r.bin)) for r in found if r.key == k]
+                if by_row or max(parts)[0] <= 3 * sum(p[0] for p in parts) / bins:
+                    dealt[k] = (bins, by_row)
+                    whole += parts
+    at, loads = spread(whole, n_shards)
+    goals = list(itertools.accumulate(fill(loads, total - sum(loads))))[:-1]
+
+    groups = [(r.key, *dealt.get(r.key, (1, False)), max(1, -(-r.n // part_rows))) for r in heavy]
+    heavy_rows = spark.createDataFrame(groups, "key long, bins int, by_row boolean, subs int")
+    units = spark.createDataFrame([(k, b, shard, unit) for unit, ((k, b), shard) in enumerate(at.items())], "key long, bin int, heavy_shard int, unit long")
+    light = rows.join(F.broadcast(heavy_rows), "key", "left_anti")
+    cuts = find_splitters(light, goals, tolerance * mean / 2) if goals else []
+    # both tables have at most a row per heavy group and bin
+    placed = rows.join(F.broadcast(heavy_rows), "key", "left").withColumn("bin", _bin()).join(F.broadcast(units), ["key", "bin"], "left")
+    shard = F.coalesce("heavy_shard", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("key"))) if cuts else F.lit(0))
+    # parts that one task numbers: even ranges of the key, which is a hash; heavy groups have their own
+    bits = (n // part_rows).bit_length()
+    sub = F.pmod(F.xxhash64("row_id"), F.col("subs"))
+    part = F.coalesce(F.col("unit") * _SUB + sub, F.lit(1 << 38) + F.shiftright("key", KEY_BITS - bits))
+    placed = work.save(placed.select("row_id", "doc_id", "size", "text_crc32", "key", "tie", shard.cast("int").alias("shard"), part.alias("part")), "placed")
+    bases, taken = [], dict.fromkeys(range(n_shards), 0)
+    for r in sorted(placed.groupBy("shard", "part").count().collect()):
+        bases.append((r[0], r[1], taken[r[0]]))
+        taken[r[0]] += r[2]
+    base = spark.createDataFrame(bases, "shard int, part long, base long")
+    order = Window.partitionBy("shard", "part").orderBy("key", "tie", "row_id")
     slot = F.row_number().over(order) - 1 + F.col("base")
-    return placed.select("doc_id", "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
+    return placed.join(base, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
+
+
+def _bin():
+    """The bin of a heavy group's row; null for others."""
+    by = F.when(F.col("by_row"), F.xxhash64("row_id")).otherwise(F.col("tie"))
+    return F.pmod(by, F.col("bins")).cast("int").alias("bin")

@@ -291,21 +291,78 @@ def test_mix_tilt_prefers_likely_documents(spark):
     assert abs(sum(taken) - 3000) <= 3 and taken[1] > 2 * taken[0]
 
 
+def check_shards(got, table, n_shards):
+    """Sizes, checksums and slots as defined; returns the bytes of each shard."""
+    text = dict(table)
+    size = collections.Counter({k: 0 for k in range(n_shards)})
+    slots = collections.defaultdict(list)
+    for r in got:
+        value = (text[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(value) + 1, zlib.crc32(value))
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(table) and set(size) == set(range(n_shards))
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    return size
+
+
 def test_shards(spark, docs, empty):
-    got = sharding.shard_documents(docs, 4, part_bytes=1000).collect()
+    got = sharding.shard_documents(docs, 4, part_rows=3).collect()
     assert len(got) == len(rows())
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert sharding.shard_documents(empty, 4).count() == 0
-    table = [(i, f"text {i // 3} " * (1 + i % 40)) for i in range(3000)] + [(9000 + i, "same") for i in range(500)]
-    got = sharding.shard_documents(spark.createDataFrame(table, "doc_id long, text string"), 8).collect()
+    assert {r.shard for r in sharding.shard_documents(docs, 1).collect()} == {0}
+    odd = odd_named(spark)
+    assert sharding.shard_documents(odd, 3).count() == 5
+
+
+@pytest.mark.parametrize("part_rows", [100, 1 << 20])
+def test_shards_keep_groups_and_are_even(spark, part_rows):
+    import random
+
+    rnd = random.Random(14)
+    table = [(i, f"text {i} " * rnd.randrange(1, 40)) for i in range(3000)]
+    for g in range(300):
+        table += [(len(table) + k, f"group {g} of equal texts " * 3) for k in range(rnd.randrange(2, 30))]
+    table += [(len(table) + k, "same and same again") for k in range(300)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(7)
+    got = sharding.shard_documents(df, 8, part_rows=part_rows).collect()
+    size = check_shards(got, table, 8)
+    where = collections.defaultdict(set)
+    text = dict(table)
+    for r in got:
+        where[text[r.doc_id]].add(r.shard)
+    assert all(len(x) == 1 for x in where.values())
+    mean = sum(size.values()) / 8
+    assert all(abs(x / mean - 1) < 0.006 for x in size.values())
+    again = sharding.shard_documents(df.repartition(3), 8).collect()
+    assert {(r.doc_id, r.shard) for r in got} == {(r.doc_id, r.shard) for r in again}
+
+
+@pytest.mark.parametrize("ids", ["own", "none"])
+def test_a_group_above_a_shard_is_spread(spark, ids):
+    table = [(i, f"text {i} " * 5) for i in range(1500)] + [(5000 + i if ids == "own" else None, "copy " * 10) for i in range(1500)]
+    got = sharding.shard_documents(spark.createDataFrame(table, "doc_id long, text string").repartition(4), 8, part_rows=100).collect()
     size = collections.Counter()
+    slots = collections.defaultdict(list)
     for r in got:
-        assert r.size == len(dict(table)[r.doc_id]) + 1
         size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
     mean = sum(size.values()) / 8
-    assert all(abs(x / mean - 1) < 0.03 for x in size.values())
-    assert len({r.shard for r in got if r.text_crc32 == zlib.crc32(b"same")}) == 1
+    assert len(got) == 3000 and all(abs(x / mean - 1) < 0.05 for x in size.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_splitters_meet_their_goals(spark):
+    rng = np.random.default_rng(15)
+    keys = np.sort(rng.integers(0, 2**62, 4000))
+    sizes = rng.integers(1, 100, 4000)
+    df = spark.createDataFrame([(int(k), int(s)) for k, s in zip(keys, sizes, strict=True)], "key long, size long")
+    goals = [sizes.sum() * k / 7 for k in range(1, 7)]
+    cuts = sharding.find_splitters(df, goals, 60, probes=8)
+    assert [abs(sizes[keys < c].sum() - g) <= 60 for c, g in zip(cuts, goals, strict=True)] == [True] * 6
+    assert sharding.fill([5, 0, 1], 6) == [pytest.approx(0), pytest.approx(3.5), pytest.approx(2.5)]
 
 
 def brute_classes(table, least=0.8):
@@ -563,21 +620,52 @@ def test_token_counts_on_every_character():
     assert len(counter.whole) > 30_000
 
 
-def test_topk(spark):
+def brute_topk(table, k=20, every=20):
+    whole = [(i, [math.floor(64 * x) if abs(x) < 2**40 else 64 * int(x) for x in v]) for i, v in table if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    own = {}
+    for i, v in whole:
+        if i % every == 0:
+            own[i] = min(own.get(i, v), v)
+    out = set()
+    for q, mine in own.items():
+        scores = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for i, v in whole if i != q and len(v) == len(mine))[:k]
+        out |= {(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores, 1)}
+    return out
+
+
+@pytest.mark.parametrize(("stripe", "block"), [(3, 40), (4096, 16384)])
+def test_topk(spark, stripe, block):
     rng = np.random.default_rng(8)
-    table = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    table = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(300)]
     table += [(300, None), (301, [1.0, None] * 4), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (320, [0.0] * 8), (None, [1.0] * 8), (7, table[7][1]), (20, table[20][1]), (340, [2.0] * 5)]
+    table += [(360, []), (361, []), (363, []), (380, [1.0, 2.0]), (400, [3.0] * 5), (401, [-1.0] * 5)]
     df = spark.createDataFrame(table, "vec_id long, embedding array<float>").repartition(3)
     from pyspark.sql import functions as F
 
     vectors = df.select("vec_id", vector_topk.quantise("embedding").alias("values"))
-    got = vector_topk.exact_topk(vectors, vectors.where("vec_id % 20 = 0"), 20).collect()
-    quant = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in table if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    for q in {i for i, _ in quant if i % 20 == 0}:
-        mine = dict(quant)[q]
-        scores = sorted(((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for i, v in quant if i != q and len(v) == len(mine)))[:20]
-        assert [(r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(-s, i) for s, i in scores]
+    got = vector_topk.exact_topk(vectors, vectors.where("vec_id % 20 = 0"), 20, stripe=stripe, block=block).collect()
+    assert {tuple(r) for r in got} == brute_topk(table) and len(got) == len(brute_topk(table))
     assert vector_topk.exact_topk(vectors.where(F.lit(False)), vectors, 20).count() == 0
+    assert vector_topk.exact_topk(vectors, vectors.where(F.lit(False)), 20).count() == 0
+    with pytest.raises(TypeError):
+        vector_topk.exact_topk(vectors.withColumn("vec_id", F.lit("a")), vectors, 20)
+
+
+def test_topk_of_huge_components_is_exact(spark):
+    table = [(0, [3e9, -1.0, 2.0]), (1, [1e10, 5.0, 1.0]), (2, [2.5e17, 1.0, 0.5]), (3, [2.5e17, 1.0, 0.5]), (4, [-3e30, 0.0, 0.0]), (5, [3e30, 1.0, 7.0]), (6, [1.0, 2.0, 3.0]), (20, [1.0, 1.0, 1.0]), (40, [-1e30, 3.0, 0.25]), (60, [1e300, 1.0, 1.0]), (7, [1.7e308, 0.0, 0.0])]
+    df = spark.createDataFrame(table, "vec_id int, embedding array<double>")
+    vectors = df.select("vec_id", vector_topk.quantise("embedding").alias("values"))
+    got = {tuple(r) for r in vector_topk.exact_topk(vectors, vectors.where("vec_id % 20 = 0"), 3).collect()}
+    # 64 x 1.7e308 is not finite, so that vector takes no part
+    assert got == brute_topk([r for r in table if r[0] != 7], 3)
+
+
+def test_topk_of_integers(spark):
+    big = 2**62 + 12345
+    table = [(0, [big, 1]), (1, [big, 3]), (2, [big - 1, 3]), (3, [-big, 9])]
+    vectors = spark.createDataFrame(table, "vec_id long, values array<long>")
+    got = [r.vec_id for r in sorted(vector_topk.exact_topk(vectors, vectors.where("vec_id = 0"), 4).collect(), key=lambda r: r["rank"])]
+    assert got == [1, 2, 3]
 
 
 def test_rank_file_reading(tmp_path):
