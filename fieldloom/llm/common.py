@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,32 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+def read_file(uri: str) -> bytes:
+    """A whole file of the shared folder."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
+def show(fs: pafs.FileSystem, part: str, path: str) -> None:
+    """Give a finished file its name in one move; where a former try of the same task has done so, drop the file."""
+    try:
+        fs.move(part, path)
+    except OSError:
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
+        fs.delete_file(part)
+
+
+def write_file(uri: str, data: bytes) -> None:
+    """Write a file of the shared folder; a retried task writes the same file and does no harm."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as f:
+        f.write(data)
+    show(fs, part, path)
+
+
 def named(name: str) -> Column:
     """The column of exactly this name, whatever dots or marks it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -3,36 +3,40 @@
 The filter holds n-gram counts on a logarithmic scale: an n-gram whose count has
 level q is entered q times, as (n-gram, 1) to (n-gram, q). A count is read back
 by probing levels 1, 2, ... until one is absent, so an error can only raise it,
-mostly by one level, with the filter's small error rate. Word and bigram counts
-read this way give the smoothed probability
-
-    P(w | v) = (c(v w) + mu P(w)) / (c(v) + mu),   P(w) = (c(w) + a) / (N + a (V + 1))
-
-Most word pairs of a text are new, and P(w | v) undervalues them; it excels where
-a passage is known. So a text is modelled as runs of RUN tokens, each of which
-follows either the word model or, with a small prior chance, the bigram model.
-
-The filter is split by n-gram hash into segments of bounded size. Where all of
-them together are small they are broadcast; otherwise a task reads one after
-the other from the shared folder, so no process holds more than a bounded part.
-
-Documents are dealt into blocks by hash. A block sends out each distinct word
-and bigram of its training texts once, as sorted hashes with counts, cut by
-hash range; each range is summed in a task of its own. What is gathered grows
-with the corpus, but no token is exchanged one by one, and frequent words are
-no hot keys. Exact word counts, for the base score, go back to the blocks the
-same way. Words are told apart by 64-bit hashes, bigrams by 48-bit ones.
+mostly by one level, with the filter's small error rate. Pair and triple counts
+read this way, those seen once too, give the smoothed probabilities
+
+    P1(w)       = (c(w) + a) / (N + a (V + 1))
+    P2(w | v)   = (1 - PAIR) P1(w) + PAIR c(v w) / c(v)
+    P3(w | u v) = (c(u v w) + TRIPLE P2(w | v)) / (c(u v) + TRIPLE)
+
+where a text is preceded by an end. Each sums to 1 over all words and one unseen
+word, as far as counts are exact; P2 is P1 after a word that was never seen. The
+first token of a text goes by P2. Counts of words are exact.
+
+A filter of all n-grams grows with the corpus, so it is not broadcast whole. It
+is dealt out by ranges of the n-gram's hash into segments of bounded size, each
+built and probed in one task:
+
+1. A task reads its part of the documents in blocks of bounded bytes, writes each
+   block's tokens to a file in the shared folder, and sends every distinct word,
+   pair and triple of the block once, as sorted hashes with counts, to ranges.
+2. A range sums the counts, builds its segment, and answers each block with the
+   levels that probing it gives for the block's own n-grams.
+3. A block's answers meet at its file, and its documents are scored.
+
+What is sent grows in proportion to the corpus: at most a row for each n-gram,
+fewer where a block has many n-grams of a range. No key is hot, since a block
+sends an n-gram once. Words are told apart by 64-bit hashes, n-grams by 47 bits.
 """
 
 from __future__ import annotations
 
 import math
 import struct
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,18 +44,16 @@ from fieldloom.llm import common
 from fieldloom.llm.near_dedup import mix64
 from fieldloom.session import Workspace
 
-DOCS_PER_BLOCK = 4096
-#: Entries of all blocks that one task sums.
+#: Bytes of text that a block holds, about; a longer text is a block of its own.
+BLOCK_BYTES = 12_000_000
+#: N-grams of all blocks that one task sums, about.
 RANGE_ENTRIES = 4_000_000
-ADD, DIRICHLET = 0.1, 4.0
-#: Counts are kept to within a factor BASE, up to BASE ** MAX_LEVEL.
+ADD, PAIR, TRIPLE = 0.1, 0.25, 10.0
+#: Counts are kept to within this factor.
 BASE, MAX_LEVEL = 1.25, 160
-#: Tokens that follow one of the two models, and the chance that it is the bigram model.
-RUN, BIGRAM_PRIOR = 16, 0.1
 HASHES, BITS_PER_ENTRY = 5, 8.0
-#: Filters up to this size in all are broadcast.
-BROADCAST_BYTES = 48 << 20
 END = b""
+WORDS, GRAMS = 0, 1
 _HEAD = "<BBIQ"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,24 +65,23 @@ def tokens_of(text: str) -> list[bytes]:
     return words
 
 
+def thresholds() -> np.ndarray:
+    """The least count of each level from 1 on: 1, 2, 3, 4, 5, 7, 9, ..., growing by BASE."""
+    found = [1]
+    while len(found) < MAX_LEVEL:
+        found.append(max(found[-1] + 1, math.ceil(found[-1] * BASE)))
+    return np.array([min(x, 2**62) for x in found], np.int64)
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log of count to BASE), at most MAX_LEVEL."""
-    return np.minimum(1 + np.floor(np.log(counts) / math.log(BASE) + 1e-9), MAX_LEVEL).astype(np.int64)
+    """How many thresholds each count meets."""
+    return np.searchsorted(thresholds(), counts, side="right").astype(np.int64)
 
 
 def level_counts() -> np.ndarray:
     """The count each level stands for: none at level 0, else the mean of the whole numbers it covers."""
-    ends = [math.ceil(BASE**q - 1e-9) for q in range(MAX_LEVEL + 1)]
-    return np.array([0.0, *((a + b - 1) / 2 if a < b else float(a) for a, b in zip(ends, ends[1:], strict=False))])
-
-
-def run_starts(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Token offsets at which runs start, and for each text the first of its runs."""
-    n = np.array(lengths, np.int64)
-    runs = -(-n // RUN)
-    first = np.cumsum(runs) - runs
-    within = np.arange(runs.sum()) - np.repeat(first, runs)
-    return np.repeat(np.cumsum(n) - n, runs) + RUN * within, first
+    least = thresholds()
+    return np.concatenate([[0.0], (least[:-1] + least[1:] - 1) / 2, [float(least[-1])]])
 
 
 def _seeds(keys: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,24 +89,29 @@ def _seeds(keys: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     return one, mix64(one) | np.uint64(1)
 
 
-def fill(bits: np.ndarray, keys: np.ndarray, level: np.ndarray) -> None:
-    """Enter keys at levels 1 to level into a filter of len(bits) bytes."""
-    m = np.uint64(len(bits) * 8)
+def bits_of(level: np.ndarray, bits_per_entry: float = BITS_PER_ENTRY) -> int:
+    """Bits of a filter for keys of these levels; in a very small one, hash functions would coincide."""
+    return max(1 << 16, int(level.sum() * bits_per_entry))
+
+
+def build(keys: np.ndarray, level: np.ndarray, m: int) -> np.ndarray:
+    """A filter of m bits, as bytes, with keys entered at levels 1 to level."""
+    bits = np.zeros(m, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
         one, two = _seeds(keys[level >= q], q)
         for h in range(HASHES):
-            place = (one + np.uint64(h) * two) % m
-            np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+            bits[((one + np.uint64(h) * two) % np.uint64(m)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
 
 
-def probe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The level of each key: how many levels are present, counted until one is absent."""
-    level = np.zeros(len(keys), np.int64)
-    m, at = np.uint64(len(bits) * 8), np.arange(len(keys))
+def probe(bits: np.ndarray, m: int, keys: np.ndarray) -> np.ndarray:
+    """The level of each key in a filter of m bits: how many levels are present, counted until one is absent."""
+    level = np.zeros(len(keys), np.uint8)
+    at = np.arange(len(keys))
     for q in range(1, MAX_LEVEL + 1):
         one, two = _seeds(keys[at], q)
         for h in range(HASHES):
-            place = (one + np.uint64(h) * two) % m
+            place = (one + np.uint64(h) * two) % np.uint64(m)
             there = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
             at, one, two = at[there], one[there], two[there]
         if not len(at):
@@ -123,25 +129,26 @@ def squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted distinct keys and their counts, compressed; low bits that no key uses are left out."""
     import zstandard
 
-    shift = 16 if not np.any(keys & np.uint64(0xFFFF)) else 0
+    shift = 17 if not np.any(keys & np.uint64(0x1FFFF)) else 0
     keys = keys >> np.uint64(shift)
     steps = np.diff(keys)
     narrow = not len(steps) or int(steps.max()) < 2**32
-    body = steps.astype("<u4" if narrow else "<u8").tobytes() + counts.astype("<u8").tobytes()
-    return struct.pack(_HEAD, narrow, shift, len(keys), int(keys[0])) + zstandard.ZstdCompressor(level=1).compress(body)
+    small = int(counts.max()) < 2**8
+    body = steps.astype("<u4" if narrow else "<u8").tobytes() + counts.astype("<u1" if small else "<u8").tobytes()
+    return struct.pack(_HEAD, narrow + 2 * small, shift, len(keys), int(keys[0])) + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 def expand(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """keys and counts of squeeze()."""
     import zstandard
 
-    narrow, shift, n, first = struct.unpack_from(_HEAD, data)
+    flags, shift, n, first = struct.unpack_from(_HEAD, data)
     body = zstandard.ZstdDecompressor().decompress(data[struct.calcsize(_HEAD) :])
-    steps = np.frombuffer(body, "<u4" if narrow else "<u8", n - 1)
+    steps = np.frombuffer(body, "<u4" if flags & 1 else "<u8", n - 1)
     keys = np.empty(n, np.uint64)
     keys[0] = first
     keys[1:] = np.uint64(first) + np.cumsum(steps, dtype=np.uint64)
-    return keys << np.uint64(shift), np.frombuffer(body, "<u8", n, steps.nbytes).astype(np.int64)
+    return keys << np.uint64(shift), np.frombuffer(body, "<u1" if flags & 2 else "<u8", n, steps.nbytes).astype(np.int64)
 
 
 class LocalIds(dict):
@@ -152,207 +159,225 @@ class LocalIds(dict):
         return n
 
 
-class BlockTokens:
-    """The tokens of a block's documents as numbers of its own vocabulary."""
-
-    def __init__(self):
-        self.ids, self.parts, self.lengths = LocalIds(), [], []
+class Block:
+    """The tokens of a block's documents as numbers of its own vocabulary, an end before the first."""
 
-    def add(self, text: str) -> None:
-        words = tokens_of(text)
-        self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
-        self.lengths.append(len(words))
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, train: np.ndarray, end: int):
+        self.tokens, self.lengths, self.hashes, self.train, self.end = tokens, lengths, hashes, train, end
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
 
-    def close(self) -> None:
+    @classmethod
+    def of(cls, texts: list[str], train: list[bool]) -> Block:
         import xxhash
 
+        ids, parts = LocalIds(), []
+        number = ids.__getitem__
+        for text in texts:
+            words = tokens_of(text)
+            parts.append(np.fromiter(map(number, words), np.int32, len(words)))
         digest = xxhash.xxh3_64_intdigest
-        self.tokens = np.concatenate(self.parts) if self.parts else np.empty(0, np.int32)
-        self.parts = []
-        self.hashes = np.fromiter((digest(w) for w in self.ids), np.uint64, len(self.ids))
-        self.ends = np.cumsum(self.lengths, dtype=np.int64)
-        self.starts = self.ends - np.array(self.lengths, np.int64)
-
-    def word_keys(self) -> np.ndarray:
-        """A filter key for each word of the vocabulary: even 48-bit numbers, shifted to the top."""
-        return mix64(self.hashes) & ~np.uint64(0x1FFFF)
+        hashes = np.fromiter((digest(w) for w in ids), np.uint64, len(ids))
+        return cls(np.concatenate(parts), np.array([len(p) for p in parts], np.int64), hashes, np.array(train, bool), ids[END])
 
     def before(self) -> np.ndarray:
         """The token before each; a text's first follows an end."""
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
-        before[self.starts] = self.ids[END] if self.ids else 0
+        before[self.starts] = self.end
         return before
 
     def pair_keys(self) -> np.ndarray:
-        """A filter key for each token with the one before it, odd numbers."""
+        """A key for each token with the one before it: odd 47-bit numbers, shifted to the top."""
         key = mix64(self.hashes[self.before()] * _STEP + mix64(self.hashes[self.tokens]))
-        return (key & ~np.uint64(0xFFFF)) | np.uint64(0x10000)
-
-
-def _read(uri: str) -> bytes:
-    fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_input_file(path) as f:
-        return f.read()
-
-
-def _write(uri: str, data: bytes) -> None:
-    """Write a file and show it under its name in one move, so that a retried task does no harm."""
-    fs, path = pafs.FileSystem.from_uri(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as f:
-        f.write(data)
-    fs.move(part, path)
+        return (key & ~np.uint64(0x3FFFF)) | np.uint64(0x20000)
+
+    def triple_keys(self, pairs: np.ndarray) -> np.ndarray:
+        """A key for each token with the two before it, even numbers; 0 for a text's first."""
+        key = np.zeros_like(pairs)
+        key[1:] = mix64(pairs[:-1] * _STEP + mix64(self.hashes[self.tokens[1:]])) & ~np.uint64(0x3FFFF)
+        key[self.starts] = 0
+        return key
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct n-gram keys, and the place in them of each token's pair and of its triple (-1: none)."""
+        pairs = self.pair_keys()
+        triples = self.triple_keys(pairs)
+        keys, at = np.unique(np.concatenate([pairs, triples]), return_inverse=True)
+        none = int(len(keys) > 0 and keys[0] == 0)
+        at = at - none
+        return keys[none:], at[: len(pairs)], at[len(pairs) :]
+
+    def data(self) -> bytes:
+        import zstandard
+
+        head = struct.pack("<IIII", len(self.lengths), len(self.hashes), len(self.tokens), self.end)
+        body = b"".join(x.tobytes() for x in (self.lengths.astype("<i8"), self.hashes.astype("<u8"), self.train.astype("<u1"), self.tokens.astype("<i4")))
+        return head + zstandard.ZstdCompressor(level=1).compress(body)
+
+    @classmethod
+    def read(cls, data: bytes) -> Block:
+        import zstandard
+
+        n, v, t, end = struct.unpack_from("<IIII", data)
+        body = zstandard.ZstdDecompressor().decompress(data[16:])
+        cut = np.cumsum([0, 8 * n, 8 * v, n, 4 * t])
+        lengths, hashes, train, tokens = (np.frombuffer(body[a:b], kind) for a, b, kind in zip(cut, cut[1:], ("<i8", "<u8", "<u1", "<i4"), strict=False))
+        return cls(tokens, lengths, hashes, train.astype(bool), end)
+
+
+def _cells(keys: np.ndarray, n_ranges: int):
+    """(range, start, stop) of every range that sorted keys have part in."""
+    ranges = range_of(keys, n_ranges)
+    starts = np.flatnonzero(np.diff(ranges, prepend=-1))
+    return zip(ranges[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
-def _summed(each: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and their counts summed over (keys, counts) pairs."""
-    keys, at = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([c for _, c in each]), minlength=len(keys)).astype(np.int64)
 
+def _unpacked(cells: list[tuple[int, bytes]], kind: str, n: int) -> np.ndarray:
+    """The values of all cells (range, data) in the order of ranges; as many as the block has keys."""
+    import zstandard
 
-def _by(batches, key: str) -> dict[int, list[dict]]:
-    """The rows of a partition by ``key``."""
-    held: dict[int, list[dict]] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            held.setdefault(row[key], []).append(row)
-    return held
+    out = np.concatenate([np.empty(0, kind), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(d), kind) for _, d in sorted(cells))])
+    if len(out) != n:
+        raise RuntimeError("a block's answers do not match its file")
+    return out
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", docs_per_block: int = DOCS_PER_BLOCK, broadcast_bytes: int = BROADCAST_BYTES, range_entries: int = RANGE_ENTRIES) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_entries: int = RANGE_ENTRIES, bits_per_entry: float = BITS_PER_ENTRY) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The model learns from every row where held_out is false; all rows are
-    scored. A null text counts as empty and is one token, its end. Rows alike in
-    id and text are dealt to one block. With nothing to learn from, all counts
-    are 0. An empty table gives no rows; other columns are not read.
+    The model learns from every row where held_out is false (null counts as
+    false); all rows are scored. A null text counts as empty and is one token,
+    its end. Ids may be of any type, null or repeated; repeated rows give
+    repeated results, and each counts in training. With nothing to learn from,
+    all counts are 0. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
-    n_blocks = max(1, -(-n_docs // docs_per_block))
-    n_ranges = max(1, -(-(n_bytes // 5 + n_docs) // range_entries))
-    block = F.pmod(F.xxhash64(id_col, F.octet_length(text)), F.lit(n_blocks)).cast("int")
-    rows = docs.select(block.alias("block"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), held_out.alias("held_out"))
+    folder = work.uri("blocks")
+    rows = docs.select(common.named(id_col).alias("doc_id"), F.coalesce(common.named(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    n_docs, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # a word of text takes six bytes or so, and gives a pair and a triple
+    n_ranges = max(1, -(-(n_bytes // 3 + 2 * n_docs) // range_entries))
 
-    # what each block holds: kind 0 its words, kind 1 the n-grams of its training texts
-    sent = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("range", pa.int32()), ("data", pa.binary())])
+    # kinds: WORDS and GRAMS, cells of what a block holds; ids, the block's documents
+    sent = pa.schema([("kind", pa.int32()), ("block", pa.string()), ("range", pa.int32()), ("data", pa.binary())])
 
     def gather(batches):
-        known: dict[int, tuple[BlockTokens, list[bool]]] = {}
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+        ids, texts, train, held = [], [], [], 0
         for batch in batches:
-            for at, value, held in zip(*(common.column(batch, c) for c in ("block", "text", "held_out")), strict=True):
-                tokens, flags = known.setdefault(at, (BlockTokens(), []))
-                tokens.add(value)
-                flags.append(not held)
-        for at, (tokens, flags) in known.items():
-            tokens.close()
-            train = np.repeat(np.array(flags, bool), tokens.lengths)
-            counts = np.bincount(tokens.tokens[train], minlength=len(tokens.hashes))
-            order = np.argsort(tokens.hashes)
-            learned = counts > 0
-            # two words of one filter key count as one
-            grams, n_grams = _summed([(tokens.word_keys()[learned], counts[learned]), np.unique(tokens.pair_keys()[train], return_counts=True)])
-            for kind, keys, n in ((0, tokens.hashes[order], counts[order]), (1, grams, n_grams)):
-                cuts = np.searchsorted(range_of(keys, n_ranges), np.arange(n_ranges + 1))
-                some = [r for r in range(n_ranges) if cuts[r] < cuts[r + 1]]
-                data = [squeeze(keys[cuts[r] : cuts[r + 1]], n[cuts[r] : cuts[r + 1]]) for r in some]
-                yield pa.record_batch([pa.array([kind] * len(some), pa.int32()), pa.array([at] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(data, pa.binary())], sent)
-
-    gathered = work.save(rows.repartitionById(n_blocks, F.col("block")).mapInArrow(gather, "kind int, block int, range int, data binary"), "gathered")
-
-    # exact counts: each range sums its words and answers every block, in the order of the block's hashes
-    told = pa.schema([("block", pa.int32()), ("range", pa.int32()), ("data", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
+            column, values, flags = batch.column(0), common.column(batch, "text"), common.column(batch, "held_out")
+            first = 0
+            for i, text in enumerate(values):
+                texts.append(text)
+                train.append(not flags[i])
+                held += len(text) + 8
+                if held >= block_bytes:
+                    ids.append(column.slice(first, i + 1 - first))
+                    yield from send(f"{part:06d}-{n:06d}", ids, texts, train)
+                    ids, texts, train, held, first, n = [], [], [], 0, i + 1, n + 1
+            if first < len(values):
+                ids.append(column.slice(first))
+        if texts:
+            yield from send(f"{part:06d}-{n:06d}", ids, texts, train)
+
+    def send(name, ids, texts, train):
+        block = Block.of(texts, train)
+        common.write_file(f"{folder}/{name}", block.data())
+        table = pa.table([pa.chunked_array(ids)], names=["doc_id"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        common.write_file(f"{folder}/{name}.ids", sink.getvalue().to_pybytes())
+        learned = np.repeat(block.train, block.lengths)
+        order = np.argsort(block.hashes)
+        counts = np.bincount(block.tokens[learned], minlength=len(block.hashes))
+        keys, pair, triple = block.grams()
+        # triples come after the pair that is their context; -1 is a text's first token, which has none
+        n_grams = np.bincount(pair[learned], minlength=len(keys)) + np.bincount(triple[learned & (triple >= 0)], minlength=len(keys))
+        for kind, some, n in ((WORDS, block.hashes[order], counts[order]), (GRAMS, keys, n_grams)):
+            cells = list(_cells(some, n_ranges))
+            yield pa.record_batch([pa.array([kind] * len(cells), pa.int32()), pa.array([name] * len(cells)), pa.array([r for r, _, _ in cells], pa.int32()), pa.array([squeeze(some[a:b], n[a:b]) for _, a, b in cells], pa.binary())], sent)
+
+    cells = rows.mapInArrow(gather, "kind int, block string, range int, data binary")
+
+    # each range sums its words and n-grams and answers every block, in the order of the block's keys
+    told = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("range", pa.int32()), ("data", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
 
     def answer(batches):
-        for at, asked in _by(batches, "range").items():
-            each = [expand(r["data"]) for r in asked]
-            keys, n = _summed(each)
-            totals = (int(n.sum()), int((n > 0).sum()))
-            for row, (mine, _) in zip(asked, each, strict=True):
-                yield pa.record_batch([pa.array([row["block"]], pa.int32()), pa.array([at], pa.int32()), pa.array([_squeeze_counts(n[np.searchsorted(keys, mine)])], pa.binary()), pa.array([totals[0]]), pa.array([totals[1]])], told)
-                totals = (0, 0)
-
-    asked = gathered.where("kind = 0").select("block", "range", "data")
-    answers = work.save(asked.repartitionById(n_ranges, F.col("range")).mapInArrow(answer, "block int, range int, data binary, total long, distinct long"), "answers")
+        asked: dict[tuple[int, int], list[tuple[str, bytes]]] = {}
+        for batch in batches:
+            for kind, block, at, data in zip(*(common.column(batch, c) for c in ("kind", "block", "range", "data")), strict=True):
+                asked.setdefault((at, kind), []).append((block, data))
+        for at, kind in list(asked):
+            mine = asked.pop((at, kind))
+            each = [expand(data) for _, data in mine]
+            keys, places = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
+            n = np.bincount(places, weights=np.concatenate([c for _, c in each]), minlength=len(keys)).astype(np.int64)
+            total, distinct = (int(n.sum()), int((n > 0).sum())) if kind == WORDS else (0, 0)
+            if kind == GRAMS:
+                level = levels(n)
+                m = bits_of(level, bits_per_entry)
+                segment = build(keys, level, m)
+                # from here on only the segment tells the counts
+                n = probe(segment, m, keys)
+            answers, done = [], 0
+            for k, _ in each:
+                answers.append(_packed(n[places[done : done + len(k)]]))
+                done += len(k)
+            many = len(mine)
+            yield pa.record_batch([pa.array([b for b, _ in mine]), pa.array([kind] * many, pa.int32()), pa.array([at] * many, pa.int32()), pa.array(answers, pa.binary()), pa.array([total] + [0] * (many - 1)), pa.array([distinct] + [0] * (many - 1))], told)
+
+    answers = cells.repartitionById(n_ranges, F.col("range")).mapInArrow(answer, "block string, kind int, range int, data binary, total long, distinct long")
+    answers = work.save(answers, "answers")
     n_train, n_words = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-
-    # the filter, a segment per range
-    folder = work.path("filter")
-    folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
-    made = pa.schema([("range", pa.int32()), ("uri", pa.string()), ("bytes", pa.int64())])
-
-    def build(batches):
-        for at, parts in _by(batches, "range").items():
-            keys, n = _summed([expand(r["data"]) for r in parts])
-            level = levels(n)
-            bits = np.zeros(int(level.sum() * BITS_PER_ENTRY) // 8 + 8, np.uint8)
-            fill(bits, keys, level)
-            _write(uri := f"{folder}/segment-{at:08d}", bits.tobytes())
-            yield pa.record_batch([pa.array([at], pa.int32()), pa.array([uri]), pa.array([len(bits)], pa.int64())], made)
-
-    grams = gathered.where("kind = 1").select("range", "data")
-    segments = work.save(grams.repartitionById(n_ranges, F.col("range")).mapInArrow(build, "range int, uri string, bytes long"), "segments")
-    places = {r["range"]: (r["uri"], r["bytes"]) for r in segments.collect()}
-    small = sum(n for _, n in places.values()) <= broadcast_bytes
-    shared = spark.sparkContext.broadcast({r: _read(uri) for r, (uri, _) in places.items()}) if small else None
-
-    counts = answers.select("block", F.col("range").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"), "data")
-    texts = rows.select("block", "doc_id", "text", "held_out", F.lit(None).cast("binary").alias("data"))
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    n_blocks = answers.select("block").distinct().count()
     floor = n_train + ADD * (n_words + 1)
 
     def score(batches):
-        exact_of: dict[int, dict[int, bytes]] = {}
-        blocks: dict[int, tuple[BlockTokens, list, list]] = {}
+        waiting: dict[str, tuple[list, list]] = {}
         for batch in batches:
-            for at, doc, value, held, data in zip(*(common.column(batch, c) for c in ("block", "doc_id", "text", "held_out", "data")), strict=True):
-                if data is not None:
-                    exact_of.setdefault(at, {})[doc] = data
-                else:
-                    tokens, ids, flags = blocks.setdefault(at, (BlockTokens(), [], []))
-                    tokens.add(value)
-                    ids.append(doc)
-                    flags.append(held)
-        for at, (tokens, ids, flags) in blocks.items():
-            tokens.close()
-            exact = np.empty(len(tokens.hashes), np.int64)
-            exact[np.argsort(tokens.hashes)] = np.concatenate([_expand_counts(d) for _, d in sorted(exact_of[at].items())])
+            for block, kind, at, data in zip(*(common.column(batch, c) for c in ("block", "kind", "range", "data")), strict=True):
+                waiting.setdefault(block, ([], []))[kind].append((at, data))
+        for name in list(waiting):
+            words, grams = waiting.pop(name)
+            block = Block.read(common.read_file(f"{folder}/{name}"))
+            ids = pa.ipc.open_stream(common.read_file(f"{folder}/{name}.ids")).read_all().column(0)
+            exact = np.empty(len(block.hashes), np.int64)
+            exact[np.argsort(block.hashes)] = _unpacked(words, "<i8", len(block.hashes))
+            keys, pair, triple = block.grams()
+            count = level_counts()[_unpacked(grams, "u1", len(keys))]
             base = np.log10((exact + ADD) / floor)
-            pairs, inverse = np.unique(tokens.pair_keys(), return_inverse=True)
-            keys = np.concatenate([tokens.word_keys(), pairs])
-            level, ranges = np.zeros(len(keys), np.int64), range_of(keys, n_ranges)
-            by_range = np.argsort(ranges, kind="stable")
-            cuts = np.searchsorted(ranges[by_range], np.arange(n_ranges + 1))
-            for r, (uri, _) in places.items():
-                mine = by_range[cuts[r] : cuts[r + 1]]
-                level[mine] = probe(np.frombuffer(shared.value[r] if shared else _read(uri), np.uint8), keys[mine])
-            count = level_counts()[level]
-            word, pair = count[: len(exact)], count[len(exact) :][inverse]
-            history = np.maximum(word[tokens.before()], pair)
-            single = ((word + ADD) / floor)[tokens.tokens]
-            paired = (pair + DIRICHLET * single) / (history + DIRICHLET)
-            at_run, first_run = run_starts(tokens.lengths)
-            by_word, by_pair = (np.add.reduceat(np.log10(x), at_run) for x in (single, paired))
-            runs = np.logaddexp(math.log(1 - BIGRAM_PRIOR) + by_word * math.log(10), math.log(BIGRAM_PRIOR) + by_pair * math.log(10)) / math.log(10)
-            known = (exact > 0)[tokens.tokens].astype(np.int64)
-            sums = [np.add.reduceat(x, at) for x, at in ((known, tokens.starts), (base[tokens.tokens], tokens.starts), (runs, first_run))]
-            n = len(ids)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(tokens.lengths, pa.int64()), pa.array(sums[0]), pa.array([n_train] * n, pa.int64()), pa.array(sums[1]), pa.array(sums[2])], out)
-
-    dealt = counts.unionByName(texts).repartitionById(n_blocks, F.col("block"))
-    return dealt.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _squeeze_counts(n: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(n.astype("<i8").tobytes())
-
-
-def _expand_counts(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
+            p = smoothed(exact, count, block.tokens, block.before(), pair, triple, floor)
+            known = (exact > 0)[block.tokens].astype(np.int64)
+            sums = [np.add.reduceat(x, block.starts) for x in (known, base[block.tokens], np.log10(p))]
+            n = len(block.lengths)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids.chunks), pa.array(~block.train), pa.array(block.lengths), pa.array(sums[0]), pa.array([n_train] * n, pa.int64()), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    dealt = answers.select("block", "kind", "range", "data").repartition(max(1, n_blocks), "block")
+    return dealt.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def smoothed(word: np.ndarray, gram: np.ndarray, tokens: np.ndarray, before: np.ndarray, pair: np.ndarray, triple: np.ndarray, floor: float) -> np.ndarray:
+    """Probability of each token: word and gram are counts, tokens and before places in word, pair and triple in gram."""
+    p1 = ((word + ADD) / floor)[tokens]
+    # a count read too high must not pass that of its context
+    history = np.maximum(word[before], gram[pair])
+    share = np.where(word[before] > 0, PAIR, 0.0)
+    p2 = (1.0 - share) * p1 + share * gram[pair] / np.maximum(history, 1.0)
+    has = triple >= 0
+    context = np.zeros(len(tokens))
+    context[1:] = gram[pair[:-1]]
+    seen = np.where(has, gram[triple], 0.0)
+    context = np.where(has, np.maximum(context, seen), 0.0)
+    return (seen + TRIPLE * p2) / (context + TRIPLE)

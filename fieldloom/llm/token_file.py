@@ -104,7 +104,7 @@ class ShardWriter:
             self.out.write(array.tobytes())
         self.out.write(struct.pack(FOOTER, MAGIC, VERSION, self.bits, self.block_tokens, self.n_tokens, len(self.doc_ids), self.written))
         self.out.close()
-        self.fs.move(self.part, self.path)
+        common.show(self.fs, self.part, self.path)
         return self.written
 
 

@@ -15,7 +15,6 @@ computed and read is queries times candidates, as in any exhaustive search.
 from __future__ import annotations
 
 import struct
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -79,23 +78,12 @@ class Blocks:
                 yield dims, kind, *(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _write_block(folder: str, name: str, dims: int, kind: int, ids: np.ndarray, values: np.ndarray) -> str:
-    """Write a block and show it under its name in one move, so that a retried task does no harm."""
-    fs, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as f:
-        f.write(struct.pack(_HEAD, kind, dims, len(ids)))
-        f.write(ids.astype("<i8").tobytes())
-        f.write(np.ascontiguousarray(values.T).tobytes())
-    fs.move(part, path)
-    return f"{folder}/{name}"
+def _packed(kind: int, ids: np.ndarray, values: np.ndarray) -> bytes:
+    return struct.pack(_HEAD, kind, values.shape[1], len(ids)) + ids.astype("<i8").tobytes() + np.ascontiguousarray(values.T).tobytes()
 
 
-def _read_block(uri: str) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """ids and postings (dims x candidates)."""
-    fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_input_stream(path) as f:
-        data = f.read()
     kind, dims, n = struct.unpack_from(_HEAD, data)
     at = struct.calcsize(_HEAD)
     return np.frombuffer(data, "<i8", n, at), np.frombuffer(data, KINDS[kind], n * dims, at + 8 * n).reshape(dims, n)
@@ -201,7 +189,8 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
         blocks, n, part = Blocks(block), 0, TaskContext.get().partitionId()
 
         def put(dims, kind, ids, values):
-            uri = _write_block(folder, f"block-{part:06d}-{n:06d}", dims, kind, ids, values)
+            uri = f"{folder}/block-{part:06d}-{n:06d}"
+            common.write_file(uri, _packed(kind, ids, values))
             return pa.record_batch([pa.array([uri]), pa.array([dims], pa.int32())], told)
 
         for batch in batches:
@@ -236,7 +225,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
         for listed in files.to_batches(columns=["uri", "dims"]):
             for uri, dims in zip(*(x.to_pylist() for x in listed.columns), strict=True):
                 if dims in lengths:
-                    ids, postings = _read_block(uri)
+                    ids, postings = _unpacked(common.read_file(uri))
                     for s in waiting:
                         if s.values.shape[1] == dims:
                             s.pass_by(ids, postings)

@@ -136,20 +136,84 @@ def test_piece_codec_on_every_character():
         assert codec.decode(codec.encode([text])[0]) == text.encode()
 
 
+def brute_lm(table, is_held):
+    """(score, base score) of each row, from exact counts that are rounded as the filter's levels are."""
+    tok = lambda t: (t or "").encode().lower().split() + [b""]
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in table:
+        if not is_held(i):
+            w = [b"", *tok(t)]
+            one.update(w[1:])
+            two.update(zip(w, w[1:], strict=False))
+            three.update(zip(w, w[1:], w[2:], strict=False))
+    least = lm_score.thresholds().tolist()
+
+    def rounded(c):
+        k = sum(x <= c for x in least)
+        return (least[k - 1] + least[k] - 1) / 2 if k else 0.0
+
+    n, v = sum(one.values()), len(one)
+    p1 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    out = []
+    for _, t in table:
+        w = [b"", *tok(t)]
+        score = 0.0
+        for k in range(1, len(w)):
+            pair = rounded(two[w[k - 1], w[k]])
+            p = p1(w[k])
+            if one[w[k - 1]]:
+                p = (1 - lm_score.PAIR) * p + lm_score.PAIR * pair / max(one[w[k - 1]], pair)
+            if k > 1:
+                seen = rounded(three[w[k - 2], w[k - 1], w[k]])
+                p = (seen + lm_score.TRIPLE * p) / (max(rounded(two[w[k - 2], w[k - 1]]), seen) + lm_score.TRIPLE)
+            score += math.log10(p)
+        out.append((score, sum(math.log10(p1(x)) for x in w[1:])))
+    return out
+
+
 def test_lm_score(docs, empty):
     held = language_id.holdout("doc_id", 3) == 0
-    got = lm_score.score_documents(docs, held, docs_per_block=5, range_entries=2000).collect()
     tok = lambda t: [*(t or "").encode().lower().split(), b""]
     is_held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 0
     c = collections.Counter(w for i, t, *_ in rows() if not is_held(i) for w in tok(t))
-    n, v = sum(c.values()), len(c)
-    want = {(i, is_held(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tok(t)), 3)) for i, t, *_ in rows()}
-    assert {(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in got} == want
-    assert len(got) == len(rows()) and all(r.score < 0 for r in got)
-    # reading the filter's segments one by one gives the same
-    again = lm_score.score_documents(docs, held, docs_per_block=5, range_entries=2000, broadcast_bytes=0)
-    assert {(r.doc_id, round(r.score, 6)) for r in again.collect()} == {(r.doc_id, round(r.score, 6)) for r in got}
+    n = sum(c.values())
+    table = [(i, t) for i, t, *_ in rows()]
+    want = sorted(((i is not None, i or 0, is_held(i), len(tok(t)), sum(c[w] > 0 for w in tok(t)), n), s) for (i, t), s in zip(table, brute_lm(table, is_held), strict=True))
+    # a filter of many bits errs in no n-gram here; blocks and ranges of any size give the same
+    for block_bytes, entries in ((3000, 2000), (10**7, 10**6)):
+        got = lm_score.score_documents(docs, held, block_bytes=block_bytes, range_entries=entries, bits_per_entry=64.0).collect()
+        got = sorted(((r.doc_id is not None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens), (r.score, r.base_score)) for r in got)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1] for g in got] == [pytest.approx(w[1], rel=1e-6) for w in want]
     assert lm_score.score_documents(empty, held).count() == 0
+    odd = odd_named(docs.sparkSession)
+    assert sorted(str(r.doc_id) for r in lm_score.score_documents(odd, language_id.holdout("doc_id", 3) == 0).collect()) == ["None", "id-1", "id-2", "id-3", "id-3"]
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over all words and one unseen word, in any context, as long as counts are exact."""
+    texts = [["a", "b", "a", "c"], ["a", "b", "b"], ["c"]]
+    seqs = [["", *t, ""] for t in texts]
+    vocab = sorted({w for s in seqs for w in s[1:]})
+    one = collections.Counter(w for s in seqs for w in s[1:])
+    two = collections.Counter(p for s in seqs for p in zip(s, s[1:], strict=False))
+    three = collections.Counter(p for s in seqs for p in zip(s, s[1:], s[2:], strict=False))
+    floor = sum(one.values()) + lm_score.ADD * (len(vocab) + 1)
+    words = [*vocab, "unseen"]
+    pairs, triples = sorted(two), sorted(three)
+    gram = np.array([*(two[p] for p in pairs), *(three[p] for p in triples), 0], float)
+    word = np.array([one[w] for w in words], float)
+    for u, v in [*pairs, ("b", "c"), ("unseen", "a"), ("a", "unseen")]:
+        if v == "":
+            continue
+        total = 0.0
+        for w in words:
+            at = lambda table, base, key: base + table.index(key) if key in table else len(gram) - 1
+            pair = np.array([at(pairs, 0, (u, v)), at(pairs, 0, (v, w))])
+            triple = np.array([-1, at(triples, len(pairs), (u, v, w))])
+            p = lm_score.smoothed(word, gram, np.array([words.index(v), words.index(w)]), np.array([words.index(u), words.index(v)]), pair, triple, floor)
+            total += p[1]
+        assert total == pytest.approx(1.0)
 
 
 def test_lm_scores_known_passages_higher(spark):
@@ -184,11 +248,12 @@ def test_log_frequency_filter():
     rng = np.random.default_rng(2)
     keys, counts = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(1, 1000, 5000)
     level = lm_score.levels(counts)
-    bits = np.zeros(int(level.sum() * lm_score.BITS_PER_ENTRY) // 8 + 8, np.uint8)
-    lm_score.fill(bits, keys, level)
-    found = lm_score.probe(bits, keys)
+    assert lm_score.levels(np.array([0, 1, 2, 5, 6, 7])).tolist() == [0, 1, 2, 5, 5, 6]
+    m = lm_score.bits_of(level)
+    bits = lm_score.build(keys, level, m)
+    found = lm_score.probe(bits, m, keys)
     assert (found >= level).all() and (found > level).mean() < 0.05
-    assert (lm_score.probe(bits, rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.05
+    assert (lm_score.probe(bits, m, rng.integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.05
     near = np.abs(lm_score.level_counts()[level] / counts - 1)
     assert near.max() < 0.25
     k, n = lm_score.expand(lm_score.squeeze(np.unique(keys), np.arange(1, 5001)))
