@@ -17,6 +17,8 @@ import fieldloom
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Rows of an Arrow batch to a Python worker, where the session keeps Spark's default: documents are long.
+ARROW_KEY, ARROW_ROWS, ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"
 
 
 def ship_code() -> None:
@@ -62,6 +64,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         ship_code()
+        if spark.conf.get(ARROW_KEY, ARROW_DEFAULT) == ARROW_DEFAULT:
+            spark.conf.set(ARROW_KEY, ARROW_ROWS)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/fieldloom/{name}-{uuid.uuid4().hex[:12]}"
         _open_roots[self.root] = spark
