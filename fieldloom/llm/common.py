@@ -49,6 +49,21 @@ def per_process_child(key: str, make: Callable[[], object]) -> object:
     return store[key]
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker gives back the memory that its last partition needed; its memos stay."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        import ctypes
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return tidied
+
+
 class Memo(dict):
     """A dict of bounded size that keeps what was used of late; only speed depends on it.
 

@@ -242,7 +242,7 @@ def fit_language_model(labelled: DataFrame, model_path: str, id_col: str = "doc_
     picked = rows.where(F.col("turn") <= cut)
     per_lang = {r[0]: r[1] for r in picked.groupBy("lang").count().collect()}
     langs = sorted(per_lang)
-    words = work.save(picked.select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(FIT_PARTS), "words")
+    words = work.save(picked.select("lang", "text").mapInArrow(common.tidy(count), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(FIT_PARTS), "words")
     pieces = Pieces(model_path)
     log_probs = np.full((pieces.size, len(langs)), -np.log(pieces.size))
     for _ in range(rounds):
@@ -288,7 +288,7 @@ def _expected_counts(words: DataFrame, model_path: str, langs: list[str], log_pr
             for start, stop, at, ids in edges:
                 np.add.at(into, ids, alpha[start, at, 0] * p[ids, 0] * beta[stop, at, 0] * scale[at])
 
-    found = words.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    found = words.mapInArrow(common.tidy(expect), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((log_probs.shape[0], len(langs)))
     out[found["piece"], found["lang"]] = found["n"]
     return out
@@ -342,7 +342,7 @@ def predict_language(docs: DataFrame, model: dict, model_path: str, id_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([n for n, _, _ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:]]
-    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return rows.mapInArrow(common.tidy(run), ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def accept_known_language(docs: DataFrame, model: dict, model_path: str, least_score: float = 0.0, least_gain: float = LEAST_GAIN, text_col: str = "text") -> DataFrame:
@@ -363,7 +363,7 @@ def accept_known_language(docs: DataFrame, model: dict, model_path: str, least_s
             found = predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN and s >= least_score and gain >= least_gain for n, s, gain in found], pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(common.tidy(run), plain.schema).toDF(*docs.columns)
 
 
 def holdout(id_col: str, every: int) -> Column:

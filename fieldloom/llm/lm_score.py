@@ -45,7 +45,7 @@ from fieldloom.llm.near_dedup import mix64
 from fieldloom.session import Workspace
 
 #: Bytes of text that a block holds, about; a longer text is a block of its own.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 #: N-grams of all blocks that one task sums, about.
 RANGE_ENTRIES = 4_000_000
 ADD, PAIR, TRIPLE = 0.1, 0.25, 10.0
@@ -309,7 +309,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             cells = list(_cells(some, n_ranges))
             yield pa.record_batch([pa.array([kind] * len(cells), pa.int32()), pa.array([name] * len(cells)), pa.array([r for r, _, _ in cells], pa.int32()), pa.array([squeeze(some[a:b], n[a:b]) for _, a, b in cells], pa.binary())], sent)
 
-    cells = rows.mapInArrow(gather, "kind int, block string, range int, data binary")
+    cells = rows.mapInArrow(common.tidy(gather), "kind int, block string, range int, data binary")
 
     # each range sums its words and n-grams and answers every block, in the order of the block's keys
     told = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("range", pa.int32()), ("data", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
@@ -338,7 +338,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             many = len(mine)
             yield pa.record_batch([pa.array([b for b, _ in mine]), pa.array([kind] * many, pa.int32()), pa.array([at] * many, pa.int32()), pa.array(answers, pa.binary()), pa.array([total] + [0] * (many - 1)), pa.array([distinct] + [0] * (many - 1))], told)
 
-    answers = cells.repartitionById(n_ranges, F.col("range")).mapInArrow(answer, "block string, kind int, range int, data binary, total long, distinct long")
+    answers = cells.repartitionById(n_ranges, F.col("range")).mapInArrow(common.tidy(answer), "block string, kind int, range int, data binary, total long, distinct long")
     answers = work.save(answers, "answers")
     n_train, n_words = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     n_blocks = answers.select("block").distinct().count()
@@ -365,7 +365,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids.chunks), pa.array(~block.train), pa.array(block.lengths), pa.array(sums[0]), pa.array([n_train] * n, pa.int64()), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     dealt = answers.select("block", "kind", "range", "data").repartition(max(1, n_blocks), "block")
-    return dealt.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.mapInArrow(common.tidy(score), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def smoothed(word: np.ndarray, gram: np.ndarray, tokens: np.ndarray, before: np.ndarray, pair: np.ndarray, triple: np.ndarray, floor: float) -> np.ndarray:

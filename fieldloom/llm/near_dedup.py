@@ -202,7 +202,7 @@ def _classes(read: DataFrame, width: int, similarity: float, bands: int, band_ro
                 yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(digests, pa.binary()), pa.array(shown, pa.list_(pa.int64()))], names=["row_id", "doc_id", "text_key", "bands"])
 
     kind = read.schema["doc_id"].dataType.simpleString()
-    rows = work.save(read.select("row_id", "doc_id", "text").mapInArrow(sign, f"row_id long, doc_id {kind}, text_key binary, bands array<long>"), "rows")
+    rows = work.save(read.select("row_id", "doc_id", "text").mapInArrow(common.tidy(sign), f"row_id long, doc_id {kind}, text_key binary, bands array<long>"), "rows")
 
     # one text stands for all its copies
     first = F.min(F.struct("doc_id", "row_id"))
@@ -247,7 +247,7 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
                 found = [np.unique(s).tobytes() for s in shingler.shingles(values[a:b], width)]
                 yield pa.record_batch([pa.array(ids[a:b], pa.int64()), pa.array(found, pa.binary())], schema)
 
-    return texts.select("rep", "text").mapInArrow(make, "rep long, shingles binary")
+    return texts.select("rep", "text").mapInArrow(common.tidy(make), "rep long, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -265,7 +265,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema)
 
     both = pairs.join(sets.select("rep", F.col("shingles").alias("mine")).hint("merge"), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("other")).hint("merge"), "pivot")
-    return both.select("rep", "pivot", "mine", "other").mapInArrow(check, "a long, b long")
+    return both.select("rep", "pivot", "mine", "other").mapInArrow(common.tidy(check), "a long, b long")
 
 
 def _family_links(members: DataFrame, sets: DataFrame, least: float, block: int, work: Workspace) -> DataFrame:
@@ -297,7 +297,7 @@ def _family_links(members: DataFrame, sets: DataFrame, least: float, block: int,
         if found:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema)
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(common.tidy(compare), "a long, b long")
 
 
 def recall_at(similarity: float, bands: int = BANDS, band_rows: int = BAND_ROWS) -> float:

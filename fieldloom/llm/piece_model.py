@@ -176,4 +176,4 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([len(x) for x in all_ids], pa.int64()), shown, back], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(common.named(id_col).alias("doc_id"), common.named(text_col).alias("text"))
-    return rows.mapInArrow(digest, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(common.tidy(digest), f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

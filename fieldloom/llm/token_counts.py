@@ -93,4 +93,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int, id_col: str =
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([len(common.utf8(t)) for t in texts[a:b]], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(common.named(id_col).alias("doc_id"), common.named(text_col).alias("text"))
-    return rows.mapInArrow(count, f"doc_id {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(common.tidy(count), f"doc_id {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -232,9 +232,9 @@ def write_token_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, n_ids
             size = writer.close()
             yield pa.record_batch([[shard], [uri], [len(writer.doc_ids)], [writer.n_tokens], [size]], made)
 
-    encoded = rows.mapInArrow(encode, "shard int, doc_id long, n int, ids binary")
+    encoded = rows.mapInArrow(common.tidy(encode), "shard int, doc_id long, n int, ids binary")
     placed = encoded.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    return work.save(placed.mapInArrow(write, "shard int, uri string, n_docs long, n_tokens long, n_bytes long"), "manifest")
+    return work.save(placed.mapInArrow(common.tidy(write), "shard int, uri string, n_docs long, n_tokens long, n_bytes long"), "manifest")
 
 
 def read_token_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -261,4 +261,4 @@ def read_token_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), out, strict=True)], out)
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    return files.mapInArrow(common.tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
