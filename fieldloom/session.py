@@ -17,6 +17,8 @@ import fieldloom
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Of written tables, which hold whole texts.
+COMPRESSION = "zstd"
 #: Rows of an Arrow batch to a Python worker, where the session keeps Spark's default: documents are long.
 ARROW_KEY, ARROW_ROWS, ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"
 
@@ -81,7 +83,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and return the written table."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", COMPRESSION).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -89,6 +91,12 @@ class Workspace:
         for name in names:
             _drop_path(self.spark, self.path(name))
 
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but these: what a finished operator's lazy result still reads."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.drop(*(x.getPath().getName() for x in fs.listStatus(where) if x.getPath().getName() not in names))
+
     def clear(self) -> None:
         """Delete all tables; nothing lazy may read them any more."""
         _drop_path(self.spark, self.root)
