@@ -142,6 +142,7 @@ def _mixed(rows: DataFrame, weights: list[float], share: float, most: float, see
     sampled = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.col("row_id") <= F.col("cut_row")))
     drawn = work.save(joined.select("row_id", "doc_id", "source", "size", "source_size", "target", "whole", "part", "key", F.coalesce(sampled, F.lit(False)).alias("sampled")), "drawn")
     moves = work.save(_closing_moves(drawn), "moves")
+    work.keep_only("numbered", "drawn", "moves")
     final = drawn.join(moves, F.col("source").eqNullSafe(F.col("move_source")), "left")
     moved = F.coalesce(F.col("row_id") == F.col("move_row"), F.lit(False))
     copies = F.col("whole") + (F.col("sampled") != moved).cast("long")

@@ -231,6 +231,7 @@ def _classes(read: DataFrame, width: int, similarity: float, bands: int, band_ro
     placed = work.save(texts.join(classes, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
     whole = placed.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"), F.min("first.doc_id").alias("class_id"))
     by_text = work.save(placed.select("text_key", "root").join(whole, "root"), "by_text")
+    work.keep_only("numbered", "rows", "by_text")
     out = rows.select("row_id", "doc_id", "text_key").join(by_text.hint("merge"), "text_key")
     return out.select("doc_id", "class_id", "class_size", (F.col("keep.row_id") == F.col("row_id")).alias("kept"), "row_id", "text_key")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import common
-from fieldloom.session import Workspace
+from fieldloom.session import COMPRESSION, Workspace
 
 FIRST_DIGIT = 64
 DIGIT_GROWTH = 8
@@ -81,7 +81,7 @@ def _split_groups(level: DataFrame, work: Workspace, first_digit: int, growth: i
             F.when(alone | ended, "done").otherwise("open").alias("state"),
         )
         path = work.path(f"split{depth}")
-        state.write.mode("overwrite").partitionBy("state").parquet(path)
+        state.write.mode("overwrite").option("compression", COMPRESSION).partitionBy("state").parquet(path)
         done.append(path)
         work.drop(f"split{depth - 1}/state=open" if depth else "level0", f"groups{depth}")
         schema = state.schema
