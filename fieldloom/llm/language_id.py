@@ -33,7 +33,7 @@ LEAST_GAIN = -0.3
 FIT_ROWS = 12_000
 EM_ROUNDS = 3
 #: Parts of the table of distinct training words, for as many tasks.
-FIT_PARTS = 64
+FIT_PARTS = 24
 #: Added to the expected count of every piece.
 PRIOR = 0.02
 _KEEP = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -263,18 +263,27 @@ def _expected_counts(words: DataFrame, model_path: str, langs: list[str], log_pr
     def expect(batches):
         pieces = common.per_process(f"pieces:{model_path}", lambda: Pieces(model_path))
         held = np.zeros((len(langs), pieces.size))
+        waiting: dict[str, tuple[list[bytes], list[int]]] = {}
+        n_waiting = 0
         for batch in batches:
-            waiting: dict[str, tuple[list[bytes], list[int]]] = {}
             for lang, token, n in zip(*(common.column(batch, c) for c in ("lang", "word", "n")), strict=True):
                 words, counts = waiting.setdefault(lang, ([], []))
                 for word in words_in(token):
                     words.append(b" " + word)
                     counts.append(n)
-            for lang, (words, counts) in waiting.items():
-                add(pieces, held[langs.index(lang)], words, np.array(counts, float), probs[:, [langs.index(lang)]])
+            n_waiting += batch.num_rows
+            if n_waiting > 40_000:
+                flush(pieces, held, waiting)
+                waiting, n_waiting = {}, 0
+        flush(pieces, held, waiting)
         lang, piece = np.nonzero(held)
         yield pa.record_batch([pa.array(lang, pa.int32()), pa.array(piece, pa.int32()), pa.array(held[lang, piece])], schema)
 
+    def flush(pieces, held, waiting):
+        # many words at once, so that passes over words of one length are worth their while
+        for lang, (words, counts) in waiting.items():
+            add(pieces, held[langs.index(lang)], words, np.array(counts, float), probs[:, [langs.index(lang)]])
+
     def add(pieces, into, words, n, p):
         for length, places in by_length(words):
             if length > plain:
