@@ -39,14 +39,16 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, grams: int = 2, most_term
     return raw.join(length, id_col).select(id_col, "term", (F.col("w") / F.col("len")).alias("weight"))
 
 
-def recall(index: DataFrame, queries: DataFrame, id_col: str, query_id: str, query_text: str, k: int, allowed: DataFrame | None = None, grams: int = 2) -> DataFrame:
+def recall(index: DataFrame, queries: DataFrame, id_col: str, query_id: str, query_text: str, k: int, allowed: DataFrame | None = None, grams: int = 2, places: int = 9) -> DataFrame:
     """query, id, score, rank: the k documents of greatest summed weight of the query's terms.
 
-    ``allowed`` (id) limits the documents before the best are chosen. Queries are few; the index stays distributed.
+    Scores are rounded to ``places`` before they are ranked. ``allowed`` (id)
+    limits the documents before the best are chosen. Queries are few; the index
+    stays distributed.
     """
     asked = terms(queries, query_id, query_text, grams).select(F.col(query_id).alias("query"), "term", "tf")
     rows = index.join(allowed.select(id_col), id_col, "left_semi") if allowed is not None else index
-    scores = rows.join(asked, "term").groupBy("query", id_col).agg(F.round(F.sum(F.col("weight") * (1 + F.log("tf"))), 9).alias("score"))
+    scores = rows.join(asked, "term").groupBy("query", id_col).agg(F.round(F.sum(F.col("weight") * (1 + F.log("tf"))), places).alias("score"))
     return top_per(scores, ["query"], [F.desc("score"), F.col(id_col)], k)
 
 
@@ -111,9 +113,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest_vectors(df: DataFrame, query: list[float], id_col: str, vector: str, k: int) -> DataFrame:
-    """The k vectors most similar to one query vector, by cosine to nine places."""
-    return df.withColumn("score", F.round(cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])), 9)).orderBy(F.desc("score"), id_col).limit(k)
+def nearest_vectors(df: DataFrame, query: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
+    """The k vectors most similar to the one of a table of one row (query), by cosine to nine places."""
+    rows = df.join(F.broadcast(query.select(F.col("query").alias("__q")).limit(1)), F.lit(True))
+    return rows.withColumn("score", F.round(cosine(F.col(vector), F.col("__q")), 9)).drop("__q").orderBy(F.desc("score"), id_col).limit(k)
 
 
 def label_vote(near: DataFrame, query: str, label: str) -> DataFrame:

@@ -66,9 +66,11 @@ def temporal_index(df: DataFrame, species: str, sampling: Column, citation: Colu
     """Per species: first and last year, first primary and first secondary year, and the distinct (year, role) pairs.
 
     A record counts at its sampling year, else its citation's publication year.
+    Years are read once for all records that tell the same.
     """
-    year = F.coalesce(citations.sampling_year(sampling), citations.publication_year(citation))
-    rows = df.select(species, year.alias("year"), F.when(blank(role).isin("", "Primary", "primary"), "primary").otherwise("secondary").alias("role")).where("year IS NOT NULL")
+    told = df.select(species, sampling.alias("__s"), citation.alias("__c"), F.when(blank(role).isin("", "Primary", "primary"), "primary").otherwise("secondary").alias("role")).distinct()
+    year = F.coalesce(citations.sampling_year("__s"), citations.publication_year("__c"))
+    rows = told.select(species, year.alias("year"), "role").where("year IS NOT NULL")
     return rows.groupBy(species).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min(F.when(F.col("role") == "primary", F.col("year"))).alias("first_primary"), F.min(F.when(F.col("role") == "secondary", F.col("year"))).alias("first_secondary"), F.sort_array(F.collect_set(F.struct("year", "role"))).alias("years"))
 
 

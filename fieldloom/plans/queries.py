@@ -286,7 +286,7 @@ def graph_drawing(spark, sf_dir):
     return graph.drawing(n, e, 60)[1]
 
 
-@query(occ_sql(f"SELECT label FROM n WHERE type = 'Species' AND id IN (SELECT src FROM e WHERE rel = 'BELONGS_TO' AND dst = {_NODE('Family', 'chr(66)||chr(114)||chr(97)||chr(110)||chr(100)||chr(35)||chr(49)||chr(50)')})", f"{_N}, {_E}"))
+@query(occ_sql(f"SELECT label FROM n WHERE type = 'Species' AND id IN (SELECT src FROM e WHERE rel = 'BELONGS_TO' AND dst = 'family::brand_12')", f"{_N}, {_E}"))
 def family_members(spark, sf_dir):
     """Species of one family."""
     return graph.family_species(*_graph(spark, sf_dir), "Brand#12")
@@ -369,10 +369,10 @@ def corrections_overlay(spark, sf_dir):
     return upserts.overlay(o, log, ["o_orderkey"], "seq", ["status", "price"], "gone")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)")
 def insert_or_ignore(spark, sf_dir):
     """Rows whose key another table lacks."""
-    o = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = read_table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return upserts.insert_new(o, read_table(spark, sf_dir, "customer"), ["c_custkey"]).select("c_custkey", "c_mktsegment")
 
 
@@ -612,9 +612,7 @@ _TERM_SQL = """WITH q AS (SELECT doc_id, string_agg(text, '') AS text FROM docum
 def tfidf_recall(spark, sf_dir):
     """Documents recalled for each benchmark text by TF-IDF."""
     index = retrieval.tfidf(read_table(spark, sf_dir, "documents"), "doc_id", "text", grams=1)
-    asked = retrieval.terms(read_table(spark, sf_dir, "benchmark"), "item_id", "text", 1).select(F.col("item_id").alias("query"), "term", "tf")
-    scores = index.join(asked, "term").groupBy("query", "doc_id").agg(F.round(F.sum(F.col("weight") * (1 + F.log("tf"))), 6).alias("score"))
-    return retrieval.top_per(scores, ["query"], [F.desc("score"), F.col("doc_id")], 5).drop("rank")
+    return retrieval.recall(index, read_table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", 5, grams=1, places=6).drop("rank")
 
 
 @query(
@@ -657,8 +655,8 @@ def type_classifier(spark, sf_dir):
 def vector_topk(spark, sf_dir):
     """Vectors most similar to one."""
     e = read_table(spark, sf_dir, "embeddings")
-    v = e.orderBy("vec_id").limit(1).first()["embedding"]
-    return retrieval.nearest_vectors(e, v, "vec_id", "embedding", 15).select("vec_id", F.round("score", 6).alias("score"))
+    query = e.agg(F.min_by("embedding", "vec_id").alias("query"))
+    return retrieval.nearest_vectors(e, query, "vec_id", "embedding", 15).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query()
