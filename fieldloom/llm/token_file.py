@@ -163,9 +163,14 @@ class ByteLevelEncoder:
     """A byte-level tokenizer file of the tokenizers library, memoised by word.
 
     No pre-token crosses an edge of common.COARSE, so words are encoded apart.
-    Texts with special strings or disputed blanks go to the library whole.
+    New words with their leading space reach the library many at a time, as one
+    text: a token that starts with a space starts a word, so their ids are cut
+    there. Texts with special strings or disputed blanks go to the library whole.
     """
 
+    #: New words that make one text for the library.
+    TOGETHER = 256
+
     def __init__(self, path: str):
         import os
 
@@ -175,9 +180,30 @@ class ByteLevelEncoder:
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.memo = common.Memo()
+        vocabulary = self.lib.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        # the byte-level alphabet writes a space as U+0120
+        self.leads[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+        led = [k for k, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+        chunks = [led[a : a + self.TOGETHER] for a in range(0, len(led), self.TOGETHER)]
+        out: list[bytes | None] = [None] * len(words)
+        for chunk, found in zip(chunks, self.lib.encode_batch_fast(["".join([words[k] for k in c]) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            at = np.flatnonzero(self.leads[ids]).tolist()
+            if len(at) == len(chunk) and at[0] == 0:
+                data = ids.tobytes()
+                at.append(len(ids))
+                for k, a, b in zip(chunk, at, at[1:], strict=False):
+                    out[k] = data[4 * a : 4 * b]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self.encode_whole([words[k] for k in rest]), strict=True):
+            out[k] = x
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -189,7 +215,7 @@ class ByteLevelEncoder:
             new.update(words[-1] or ())
         self.memo.learn(new, self.encode_words)
         get = self.memo.__getitem__
-        return [b"".join(map(get, w)) if w is not None else self.encode_words([t])[0] for w, t in zip(words, texts, strict=True)]
+        return [b"".join(map(get, w)) if w is not None else self.encode_whole([t])[0] for w, t in zip(words, texts, strict=True)]
 
 
 def write_token_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, n_ids: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:

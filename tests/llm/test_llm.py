@@ -91,6 +91,22 @@ def test_token_files(spark, docs, empty):
     assert token_file.read_token_shards(spark, manifest).count() == 0
 
 
+def test_token_encoder_equals_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = P.path(registry.BYTE_BPE)
+    lib, encoder = Tokenizer.from_file(path), token_file.ByteLevelEncoder(path)
+    rnd = random.Random(16)
+    alphabet = ["a", "B", "é", "日", "١", "7", "'s", "'", "-", "…", "—", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u200b", "\u0301", "😀", "Ġ", "<|endoftext|>", "\x1c", "\x85", "the", "ing"]
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randrange(40))) for _ in range(4000)]
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want and encoder.encode(texts) == want
+    texts = ["".join(f"a{chr(c)}b {chr(c)}1" for c in range(start, start + 64)) for start in range(0, 0x3000, 64)]
+    assert encoder.encode(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_radix_dedup(docs, empty):
     got = radix_dedup.radix_groups(docs, first_digit=2, growth=2).collect()
     groups = collections.defaultdict(list)
