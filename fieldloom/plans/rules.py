@@ -32,10 +32,10 @@ def approved_names(spark, sf_dir):
     return filters.approve(occ, ref).select(*_ROW, "approved")
 
 
-@query(occ_sql(f"SELECT {_ROW_SQL} FROM occ WHERE contains(lower(recordedName), 'an') OR contains(lower(verbatimLocality), 'an')"))
+@query(occ_sql(f"SELECT {_ROW_SQL} FROM occ WHERE contains(lower(recordedName), 'ring') OR contains(lower(verbatimLocality), 'ring')"))
 def text_search(spark, sf_dir):
     """Records whose name or place holds a text, letter case aside."""
-    return filters.search_text(occurrence_view(spark, sf_dir), "AN", ["recordedName", "verbatimLocality"]).select(*_ROW)
+    return filters.search_text(occurrence_view(spark, sf_dir), "RING", ["recordedName", "verbatimLocality"]).select(*_ROW)
 
 
 @query(occ_sql(f"SELECT {_ROW_SQL}, round(CASE WHEN part % 2 = 0 THEN least(discount * 10 + 0.05, 1.0) ELSE discount * 10 END, 6) AS confidence FROM occ"))
@@ -55,12 +55,12 @@ def outside_spans(spark, sf_dir):
     return filters.outside_spans(rows, spans, "user_id").select("event_id")
 
 
-@query(occ_sql(f"SELECT {_ROW_SQL} FROM occ WHERE NOT (part % 2 = 0 AND list_has_any(regexp_split_to_array(lower(verbatimLocality), '[^a-z]+'), ['india', 'china', 'kingdom']))"))
+@query(occ_sql(f"SELECT {_ROW_SQL} FROM occ WHERE NOT (part % 2 = 0 AND list_has_any(regexp_split_to_array(lower(phylum), '[^a-z]+'), ['asia', 'east']))"))
 def author_free_places(spark, sf_dir):
     """Places without a word that is an author's name."""
     occ = occurrence_view(spark, sf_dir)
-    authors = F.when(c("part") % 2 == 0, F.array(F.lit("india"), F.lit("china"), F.lit("kingdom")))
-    return filters.without_authors(occ, "verbatimLocality", authors).select(*_ROW)
+    authors = F.when(c("part") % 2 == 0, F.array(F.lit("asia"), F.lit("east")))
+    return filters.without_authors(occ, "phylum", authors).select(*_ROW)
 
 
 @query(occ_sql(f"SELECT {_ROW_SQL} FROM occ WHERE discount * 10 < 0.5 AND part % 2 <> 0"))
@@ -84,11 +84,11 @@ def pending_rows(spark, sf_dir):
     return filters.pending_chunks(occ).select(*_ROW)
 
 
-@query(occ_sql("SELECT recordedName FROM occ GROUP BY 1 HAVING bool_or(contains(lower(verbatimLocality), 'an')) AND bool_or(contains(lower(phylum), 'asia') OR contains(lower(phylum), 'europe'))"))
+@query(occ_sql("SELECT recordedName FROM occ GROUP BY 1 HAVING bool_or(contains(lower(verbatimLocality), 'tion_1')) AND bool_or(contains(lower(phylum), 'asia') OR contains(lower(phylum), 'europe'))"))
 def related_species(spark, sf_dir):
     """Species by what their relations reach: any text within a predicate, all predicates."""
     rows = occurrence_view(spark, sf_dir).groupBy("recordedName").agg(F.collect_set("verbatimLocality").alias("sites"), F.collect_set("phylum").alias("regions"))
-    return filters.select_related(rows, {"FOUND_AT": ["AN"], "IN": ["asia", "europe"], "NONE": []}, {"FOUND_AT": "sites", "IN": "regions"}).select("recordedName")
+    return filters.select_related(rows, {"FOUND_AT": ["TION_1"], "IN": ["asia", "europe"], "NONE": []}, {"FOUND_AT": "sites", "IN": "regions"}).select("recordedName")
 
 
 _GENERA = "Perna viridis was seen. Later P. viridis and C. textile came."
@@ -288,7 +288,7 @@ def reclassified(spark, sf_dir):
     return upserts.reclassify(occurrence_view(spark, sf_dir), changes, "validName", ["family_"]).select(*_ROW, "family_")
 
 
-@query(occ_sql("SELECT validName AS valid_name, CASE WHEN verbatimLocality = 'INDIA' THEN 'CHINA' ELSE verbatimLocality END AS locality, count(*) AS times_confirmed FROM occ GROUP BY 1, 2"))
+@query(occ_sql("SELECT validName AS valid_name, CASE WHEN verbatimLocality IN ('NATION_2', 'NATION_7', 'NATION_11') THEN 'NATION_3' ELSE verbatimLocality END AS locality, count(*) AS times_confirmed FROM occ GROUP BY 1, 2"))
 def rekeyed_atoms(spark, sf_dir):
     """Atoms of a renamed locality get new ids, and those that meet are merged."""
     from fieldloom.functions import keys
@@ -296,7 +296,7 @@ def rekeyed_atoms(spark, sf_dir):
     occ = occurrence_view(spark, sf_dir)
     atoms = occ.groupBy(c("validName").alias("valid_name"), c("verbatimLocality").alias("locality")).agg(F.count(F.lit(1)).alias("times_confirmed")).withColumn("source_citation", F.lit("s"))
     atoms = atoms.withColumn("atom_id", keys.atom_id("valid_name", "locality", "source_citation"))
-    return upserts.rekey_atoms(atoms, spark.createDataFrame([("India", "CHINA")], "old string, new string")).select("valid_name", "locality", "times_confirmed")
+    return upserts.rekey_atoms(atoms, spark.createDataFrame([(f"nation_{k}", "NATION_3") for k in (2, 7, 11)], "old string, new string")).select("valid_name", "locality", "times_confirmed")
 
 
 @query(occ_sql("SELECT src, rel, dst, weight FROM e WHERE src NOT IN (SELECT id FROM n WHERE type = 'Order') AND dst NOT IN (SELECT id FROM n WHERE type = 'Order')", f"{_N}, {_E}"))
@@ -405,16 +405,16 @@ def recall_best(spark, sf_dir):
     return found.select("query", F.round("score", 6).alias("best"))
 
 
-@query("SELECT p_name FROM part WHERE contains(lower(p_name), 'an') ORDER BY p_name LIMIT 50")
+@query("SELECT p_name FROM part WHERE contains(lower(p_name), 'in') ORDER BY p_name LIMIT 50")
 def names_found(spark, sf_dir):
     """Names that hold a text, the first fifty."""
-    return retrieval.name_search(read_table(spark, sf_dir, "part").select("p_name"), "AN", "p_name")
+    return retrieval.name_search(read_table(spark, sf_dir, "part").select("p_name"), "IN", "p_name")
 
 
-@query("WITH t AS (SELECT DISTINCT p_name, round(100.0 * (1 - levenshtein(lower(p_name), 'green part')::DOUBLE / greatest(length(p_name), 10)), 6) AS score FROM part) SELECT p_name, score FROM t WHERE score >= 40 ORDER BY score DESC, p_name LIMIT 10")
+@query("WITH t AS (SELECT DISTINCT p_name, round(100.0 * (1 - levenshtein(lower(p_name), 'blue bold')::DOUBLE / greatest(length(p_name), 9)), 6) AS score FROM part) SELECT p_name, score FROM t WHERE score >= 40 ORDER BY score DESC, p_name LIMIT 10")
 def names_closest(spark, sf_dir):
     """Names nearest to a misspelled one."""
-    return retrieval.closest_names(read_table(spark, sf_dir, "part").select("p_name").distinct(), "Green part", "p_name", 40.0)
+    return retrieval.closest_names(read_table(spark, sf_dir, "part").select("p_name").distinct(), "Blue bold", "p_name", 40.0)
 
 
 @query(occ_sql("SELECT recordedName, year FROM (SELECT DISTINCT recordedName, year FROM occ) QUALIFY row_number() OVER (PARTITION BY recordedName ORDER BY abs(year - 1995), year DESC) <= 2"))
