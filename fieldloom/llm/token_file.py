@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.llm import common
 from fieldloom.session import Workspace
@@ -221,15 +222,18 @@ class ByteLevelEncoder:
 def write_token_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, n_ids: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """Encode documents and write their ids to shard files below out_uri, in ascending id order.
 
-    Returns the manifest: shard, uri, n_docs, n_tokens, n_bytes. A null text
+    Returns the manifest: shard, uri, n_docs, n_tokens, n_bytes. Ids must be of
+    an integer type (TypeError otherwise), as the files hold them. A null text
     counts as empty and gets its end id alone; null ids come first; rows that
     share an id are ordered by their ids' bytes. An empty table has no shard.
     Other columns are not read. A retried task writes the same file again and
     moves it into place, so lost executors leave no half file behind.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    work = Workspace(docs.sparkSession, "tokens")
+    ids = common.named(id_col)
+    if not isinstance(docs.select(ids).schema[0].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type")
+    rows = docs.select(ids.cast("long").alias("doc_id"), F.coalesce(common.named(text_col), F.lit("")).alias("text"))
     n = docs.count()
     n_shards = max(1, -(-n // docs_per_shard))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / n_shards for k in range(1, n_shards)], 100 * n_shards)).first()[0] if n_shards > 1 else []

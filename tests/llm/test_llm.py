@@ -89,6 +89,8 @@ def test_token_files(spark, docs, empty):
         assert ids == sorted(ids, key=lambda x: -math.inf if x is None else x)
     manifest = token_file.write_token_shards(empty, f"file://{out}2", P.path(registry.BYTE_BPE), 50_257, 2)
     assert token_file.read_token_shards(spark, manifest).count() == 0
+    with pytest.raises(TypeError):
+        token_file.write_token_shards(odd_named(spark), f"file://{out}3", P.path(registry.BYTE_BPE), 50_257, 2)
 
 
 def test_token_encoder_equals_library():
