@@ -10,7 +10,8 @@ from fieldloom.functions.names import blank
 
 
 def _some(c: Column) -> Column:
-    return F.when(c != "", c)
+    """c, null where empty; c is evaluated once."""
+    return F.get(F.filter(F.array(c), lambda x: x != ""), F.lit(0))
 
 
 def first_author(c: Column | str) -> Column:
@@ -32,7 +33,8 @@ def study_area(c: Column | str) -> Column:
 
 
 def without_authority_years(c: Column | str) -> Column:
-    return F.regexp_replace(blank(c), V.AUTHORITY_YEAR, "")
+    text = blank(c)
+    return F.when(F.contains(text, F.lit("(")), F.regexp_replace(text, V.AUTHORITY_YEAR, "")).otherwise(text)
 
 
 def latest_year(c: Column | str, drop_authority: bool = False) -> Column:
@@ -45,7 +47,7 @@ def sampling_year(c: Column | str) -> Column:
     """Year of a sampling event told as JSON (date, eventDate, year or samplingYear) or as text."""
     text = blank(c)
     told = F.coalesce(*[_some(F.get_json_object(text, f"$.{k}")) for k in ("date", "eventDate", "year", "samplingYear")])
-    return F.when(text.startswith("{"), latest_year(told, True)).otherwise(latest_year(text, True))
+    return latest_year(F.when(text.startswith("{"), told).otherwise(text), True)
 
 
 def publication_year(c: Column | str) -> Column:

@@ -39,8 +39,10 @@ def name_key(c: Column | str, strict: bool = False) -> Column:
     """
     text = blank(c)
     if not strict:
-        for pattern in (V.AUTHORITY, r"\s*\([^)]+\)", V.OPEN_NOMENCLATURE):
-            text = F.regexp_replace(text, pattern, "")
+        # each pattern is tried only on texts that hold what every match of it holds
+        text = F.when(F.lower(text) != text, F.regexp_replace(text, V.AUTHORITY, "")).otherwise(text)
+        text = F.when(F.contains(text, F.lit("(")), F.regexp_replace(text, r"\s*\([^)]+\)", "")).otherwise(text)
+        text = F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, V.OPEN_NOMENCLATURE, "")).otherwise(text)
         text = F.trim(F.regexp_replace(text, r"\s{2,}", " "))
     return strip_chars(F.lower(text), ".,;- ")
 
@@ -102,7 +104,8 @@ def taxon_rank(c: Column | str) -> Column:
 
 
 def is_placeholder(c: Column | str) -> Column:
-    return blank(c).rlike(V.PLACEHOLDER)
+    text = blank(c)
+    return text.startswith("__candidate_") & text.rlike(V.PLACEHOLDER)
 
 
 def usable_name(recorded: Column | str, valid: Column | str) -> Column:

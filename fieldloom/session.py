@@ -22,6 +22,9 @@ COMPRESSION = "zstd"
 #: Rows of an Arrow batch to a Python worker, where the session keeps Spark's default: documents are long.
 ARROW_KEY, ARROW_ROWS, ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"
 
+#: A table is dealt out when it has less than a core's IDLE_SHARE-th row group for each core, and so many bytes.
+IDLE_SHARE, LEAST_DEALT = 4, 4 << 20
+
 
 def ship_code() -> None:
     """Let pickled functions carry this package's code along."""
@@ -103,5 +106,36 @@ class Workspace:
         _open_roots.pop(self.root, None)
 
 
+def _row_groups(spark: SparkSession, files: list[str]) -> tuple[int, int]:
+    """Row groups of parquet files, and their compressed bytes, from the footers."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = size = 0
+    for file in files:
+        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(where, conf))
+        try:
+            groups = reader.getRowGroups()
+            n += groups.size()
+            size += sum(g.getCompressedSize() for g in groups)
+        finally:
+            reader.close()
+    return n, size
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt over all cores where its files cannot be.
+
+    A row group is one task's at least, so a table of few row groups would leave
+    most cores idle up to the first exchange. It is dealt out by row if it has at
+    most a quarter as many row groups as there are cores; that many row groups
+    are all that is ever exchanged here, and tables of more files than that, as
+    large ones are, cost no look at a footer.
+    """
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    files = table.inputFiles()
+    if 0 < len(files) <= cores // IDLE_SHARE:
+        n, size = _row_groups(spark, files)
+        if 0 < n <= cores // IDLE_SHARE and size >= LEAST_DEALT:
+            return table.repartition(cores)
+    return table
