@@ -35,8 +35,9 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, grams: int = 2, most_term
         df = df.orderBy(F.desc("total"), "term").limit(most_terms)
     idf = df.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(idf, "term").select(id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    length = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(length, id_col).select(id_col, "term", (F.col("w") / F.col("len")).alias("weight"))
+    # a partition is one document's distinct terms
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, "term", (F.col("w") / length).alias("weight"))
 
 
 def recall(index: DataFrame, queries: DataFrame, id_col: str, query_id: str, query_text: str, k: int, allowed: DataFrame | None = None, grams: int = 2, places: int = 9) -> DataFrame:
