@@ -145,3 +145,16 @@ def test_flow(spark):
     assert derived["nodes"].count() > 3 and derived["species"].count() >= 2
     assert flows.answer_context(derived["nodes"], derived["edges"], "Where is Cassiopea?").count() == 1
     assert flows.contexts(docs).where("full_text LIKE '%STUDY CONTEXT%'").count() > 0
+
+
+def test_tables_of_few_row_groups_are_dealt(spark, tmp_path, monkeypatch):
+    from fieldloom import session
+
+    monkeypatch.setattr(session, "LEAST_DEALT", 1)
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one of.parquet"))
+    spark.range(1000).repartition(cores).write.parquet(str(tmp_path / "many.parquet"))
+    one, many = (session.read_table(spark, str(tmp_path), n) for n in ("one of", "many"))
+    assert one.rdd.getNumPartitions() == (cores if cores >= session.IDLE_SHARE else 1)
+    assert sorted(r.id for r in one.collect()) == sorted(r.id for r in many.collect()) == list(range(1000))
+    assert "Repartition" not in many._jdf.queryExecution().logical().toString()
