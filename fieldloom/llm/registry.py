@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm.conversation_repair import audit_conversations
 from fieldloom.llm.language_id import fit_language_model, holdout, predict_language
 from fieldloom.llm.lm_score import score_documents
 from fieldloom.llm.mixing import pareto_mix
@@ -77,9 +78,13 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), TOP_K)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_file, op2_radix_dedup, op3_piece_codec, op4_lm_score, op5_pareto_mix, op6_histogram_shards, op7_near_classes, op8_language_id, op9_token_counts, op10_exact_topk)
+    for f in (op1_token_file, op2_radix_dedup, op3_piece_codec, op4_lm_score, op5_pareto_mix, op6_histogram_shards, op7_near_classes, op8_language_id, op9_token_counts, op10_exact_topk, op12_conversation_repair)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +108,86 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op12_conversation_repair": """
+        WITH RECURSIVE told AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS chars
+            FROM conversations),
+        fates AS (
+            SELECT conv_id, turn, role, text,
+                   xor(4294967295::BIGINT, list_reduce(
+                       list_prepend(4294967295::BIGINT, list_transform(chars, lambda c: ascii(c)::BIGINT)),
+                       lambda crc, byte: list_reduce(
+                           [xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                           lambda x, zero: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 20 AS fate
+            FROM told),
+        harmed AS (
+            SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM fates WHERE fate <> 0),
+        numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text[1:64], sha256(text), copy) AS k FROM harmed),
+        faults AS (
+            SELECT *, role[1:1] AS initial,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 2
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+                   lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY k) || role[1:1] AS pair
+            FROM numbered),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+                   count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                   count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faults GROUP BY conv_id),
+        -- least cost of what follows turn k - 1, from: nothing yet, system, user, whole exchange
+        costs AS (
+            SELECT conv_id, n + 1 AS k, 0 AS nil, 6 AS sys, 3 AS usr, 0 AS pair FROM counts
+            UNION ALL
+            SELECT conv_id, k, least(nil, 3 + least(usr, 3 + pair)), least(sys, 3 + least(usr, 3 + pair)), least(usr, 3 + pair), least(pair, 3 + usr)
+            FROM (
+                SELECT f.conv_id, f.k, more,
+                       least(4 + c.nil, far + more + least(3 + c.usr, CASE initial WHEN 's' THEN c.sys WHEN 'u' THEN c.usr ELSE 999 END)) AS nil,
+                       least(4 + c.sys, far + more + least(3 + c.usr, CASE initial WHEN 'u' THEN c.usr ELSE 999 END)) AS sys,
+                       least(4 + c.usr, far + more + least(3 + c.pair, CASE initial WHEN 'a' THEN c.pair ELSE 999 END)) AS usr,
+                       least(4 + c.pair, far + more + least(3 + c.usr, CASE initial WHEN 'u' THEN c.usr ELSE 999 END)) AS pair
+                FROM costs c JOIN (
+                    SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS more, CASE WHEN fault IN (1, 2) THEN 99999 ELSE 0 END AS far FROM faults
+                ) f ON f.conv_id = c.conv_id AND f.k = c.k - 1)),
+        states AS (
+            SELECT c.conv_id, c.k, s.state, [c.nil, c.sys, c.usr, c.pair][s.state] AS now,
+                   [c.usr, c.usr, c.pair, c.usr][s.state] AS put, [3, 3, 4, 3][s.state] AS put_state,
+                   CASE WHEN s.state = 3 THEN 'assistant' ELSE 'user' END AS put_role
+            FROM costs c, (SELECT unnest([1, 2, 3, 4]) AS state) s),
+        moves AS (
+            SELECT b.*, a.role, a.text, a.fault, d.now AS dropped, t.now AS rerole,
+                   CASE WHEN a.fault NOT IN (1, 2) THEN
+                       CASE WHEN a.initial = 's' AND b.state = 1 THEN 2 WHEN a.initial = 'u' AND b.state <> 3 THEN 3 WHEN a.initial = 'a' AND b.state = 3 THEN 4 END
+                   END AS keep_state
+            FROM states b
+            LEFT JOIN faults a ON a.conv_id = b.conv_id AND a.k = b.k
+            LEFT JOIN states d ON d.conv_id = b.conv_id AND d.k = b.k + 1 AND d.state = b.state
+            LEFT JOIN states t ON t.conv_id = b.conv_id AND t.k = b.k + 1 AND t.state = b.put_state),
+        best AS (
+            SELECT m.*, CASE WHEN m.now = 4 + m.dropped THEN 'D' WHEN m.now = 3 + m.put THEN 'I'
+                             WHEN m.now = kept.now + CASE WHEN m.fault = 3 THEN 3 ELSE 0 END THEN 'K' WHEN m.role IS NOT NULL THEN 'R' END AS edit
+            FROM moves m LEFT JOIN states kept ON kept.conv_id = m.conv_id AND kept.k = m.k + 1 AND kept.state = m.keep_state),
+        walk AS (
+            SELECT conv_id, 1::BIGINT AS k, 1 AS state, '' AS audit, [] :: VARCHAR[] AS lines FROM counts
+            UNION ALL
+            SELECT w.conv_id, CASE WHEN edit = 'I' THEN w.k ELSE w.k + 1 END,
+                   CASE edit WHEN 'D' THEN w.state WHEN 'K' THEN keep_state ELSE put_state END, w.audit || edit,
+                   CASE edit WHEN 'D' THEN w.lines WHEN 'K' THEN list_append(w.lines, b.role || ':' || b.text)
+                             WHEN 'R' THEN list_append(w.lines, b.put_role || ':' || b.text) ELSE list_append(w.lines, b.put_role || ':') END
+            FROM walk w JOIN best b ON b.conv_id = w.conv_id AND b.k = w.k AND b.state = w.state
+            WHERE edit IS NOT NULL),
+        ended AS (
+            SELECT w.conv_id, w.audit, w.lines, c.nil AS cost
+            FROM walk w JOIN counts n ON n.conv_id = w.conv_id AND w.k = n.n + 1 AND w.state IN (1, 4)
+            JOIN costs c ON c.conv_id = w.conv_id AND c.k = 1)
+        SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+               coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts USING (conv_id) LEFT JOIN ended USING (conv_id)
+    """,
 }
