@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.conversation_repair import audit_conversations
 from fieldloom.llm.language_id import fit_language_model, holdout, predict_language
+from fieldloom.llm.lexical_search import wand_search
 from fieldloom.llm.lm_score import score_documents
 from fieldloom.llm.mixing import pareto_mix
 from fieldloom.llm.near_dedup import near_classes
@@ -28,6 +29,7 @@ WORD_BPE, TOKEN_LIMIT = "word_bpe_49k.json", 2048
 MIX = {"weights": [3, 1, 2], "share": 1.5, "most": 2.0, "seed": "mix", "length_power": 0.5}
 SHARDS = 16
 TOP_K, QUERY_EVERY = 20, 20
+HITS = 10
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +84,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_conversations(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), HITS)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_file, op2_radix_dedup, op3_piece_codec, op4_lm_score, op5_pareto_mix, op6_histogram_shards, op7_near_classes, op8_language_id, op9_token_counts, op10_exact_topk, op12_conversation_repair)
+    for f in (op1_token_file, op2_radix_dedup, op3_piece_codec, op4_lm_score, op5_pareto_mix, op6_histogram_shards, op7_near_classes, op8_language_id, op9_token_counts, op10_exact_topk, op12_conversation_repair, op13_lexical_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -130,9 +136,9 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text[1:64], sha256(text), copy) AS k FROM harmed),
         faults AS (
             SELECT *, role[1:1] AS initial,
-                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                   CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1
                         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 2
-                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+                        WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 3 ELSE 0 END AS fault,
                    lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY k) || role[1:1] AS pair
             FROM numbered),
         counts AS (
@@ -190,4 +196,28 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts USING (conv_id) LEFT JOIN ended USING (conv_id)
     """,
+    "op13_lexical_search": """
+        WITH words AS (
+            SELECT row_number() OVER () AS row, doc_id,
+                   list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+                                  lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms
+            FROM documents),
+        sized AS (SELECT row, doc_id, terms, len(terms)::HUGEINT AS n FROM words WHERE len(terms) > 0),
+        whole AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS len FROM sized),
+        slopes AS (SELECT row, doc_id, 10 + (90 * n * docs) // len AS m FROM sized, whole),
+        tfs AS (SELECT row, term, count(*)::HUGEINT AS tf FROM (SELECT row, unnest(terms) AS term FROM sized) GROUP BY row, term),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::HUGEINT AS w FROM tfs, whole GROUP BY term, docs),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+                                            lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
+            FROM benchmark),
+        scores AS (
+            SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN slopes USING (row)
+            GROUP BY item_id, row, doc_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
