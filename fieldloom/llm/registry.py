@@ -13,6 +13,7 @@ from fieldloom.llm.lm_score import score_documents
 from fieldloom.llm.mixing import pareto_mix
 from fieldloom.llm.near_dedup import near_classes
 from fieldloom.llm.piece_model import bpe_round_trip
+from fieldloom.llm.quality import fit_quality, score_quality
 from fieldloom.llm.radix_dedup import radix_groups
 from fieldloom.llm.sharding import shard_documents
 from fieldloom.llm.token_counts import token_counts
@@ -30,6 +31,7 @@ MIX = {"weights": [3, 1, 2], "share": 1.5, "most": 2.0, "seed": "mix", "length_p
 SHARDS = 16
 TOP_K, QUERY_EVERY = 20, 20
 HITS = 10
+QUALITY_FOLDS, QUALITY_HELD = 3, 1
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +82,12 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), TOP_K)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", (holdout("doc_id", QUALITY_FOLDS) == QUALITY_HELD).alias("held_out"))
+    model = fit_quality(docs.where("NOT held_out"), read_table(spark, sf_dir, "labels"))
+    return score_quality(docs, model, keep=["held_out"])
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_conversations(read_table(spark, sf_dir, "conversations"))
 
@@ -90,7 +98,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_file, op2_radix_dedup, op3_piece_codec, op4_lm_score, op5_pareto_mix, op6_histogram_shards, op7_near_classes, op8_language_id, op9_token_counts, op10_exact_topk, op12_conversation_repair, op13_lexical_search)
+    for f in (op1_token_file, op2_radix_dedup, op3_piece_codec, op4_lm_score, op5_pareto_mix, op6_histogram_shards, op7_near_classes, op8_language_id, op9_token_counts, op10_exact_topk, op11_quality, op12_conversation_repair, op13_lexical_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
