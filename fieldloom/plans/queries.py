@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import citations, coords, jsonfix, keys, names, places, text
-from fieldloom.operators import annotate, articles, dedup, feedback, filters, graph, lookup, nearest, reconcile, retrieval, segment, similarity, spatial, summaries, tables, upserts
+from fieldloom.operators import annotate, articles, communities, dedup, feedback, filters, graph, lookup, nearest, reconcile, retrieval, segment, similarity, spatial, summaries, tables, upserts
 from fieldloom.plans.views import OCCURRENCE_SQL, SEQ, SEQ_SQL, occurrence_view
-from fieldloom.session import read_table
+from fieldloom.session import Workspace, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -294,8 +294,49 @@ def family_members(spark, sf_dir):
 
 @query()
 def graph_communities(spark, sf_dir):
-    """Communities by label propagation; no SQL form."""
-    return graph.communities(graph.edges(occurrence_view(spark, sf_dir)).where("rel <> 'CITED_BY'"), 3)
+    """Communities of the whole graph by modularity; community_quality holds them against the tables."""
+    return communities.communities(graph.edges(occurrence_view(spark, sf_dir)))
+
+
+@query(occ_sql("SELECT count(*) AS n_nodes, any_value(w.weight) AS weight, TRUE AS one_each, TRUE AS above_propagation, TRUE AS above_types FROM (SELECT src AS id FROM e UNION SELECT dst FROM e), (SELECT sum(weight)::DOUBLE AS weight FROM e) w", _E))
+def community_quality(spark, sf_dir):
+    """Nodes and weight that communities cover, and that their modularity is at least that of label propagation and of node types."""
+    work = Workspace(spark, "community_quality")
+    told = work.save(graph.edges(occurrence_view(spark, sf_dir)), "edges")
+    pairs = work.save(communities.undirected(told), "pairs")
+    own = communities.communities(told)
+    kinds = own.select("id", F.split_part("id", F.lit("::"), F.lit(1)).alias("community"))
+    spread = graph.communities(told, 3)
+    score = lambda labels, name: communities.modularity(pairs, labels).withColumnRenamed("modularity", name)
+    counts = own.agg(F.count(F.lit(1)).alias("n_nodes"), (F.count_distinct("id") == F.count(F.lit(1))).alias("one_each"))
+    whole = pairs.agg(F.sum("weight").alias("weight"))
+    row = counts.join(whole).join(score(own, "q")).join(score(spread, "q_spread")).join(score(kinds, "q_kinds"))
+    return row.select("n_nodes", "weight", "one_each", (F.col("q") >= F.col("q_spread")).alias("above_propagation"), (F.col("q") >= F.col("q_kinds")).alias("above_types"))
+
+
+_STARS_SQL = """stars AS (SELECT 'customer ' || c_custkey AS id, 'nation ' || c_nationkey AS hub FROM customer),
+    members AS (SELECT id, hub FROM stars UNION SELECT hub, hub FROM stars),
+    least AS (SELECT hub, min(id) AS community FROM members GROUP BY hub)"""
+
+
+def _star_edges(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer")
+    return c.select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("src"), F.lit("OF").alias("rel"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("dst"), F.lit(1).cast("long").alias("weight"))
+
+
+@query(f"WITH {_STARS_SQL} SELECT id, community FROM members JOIN least USING (hub)")
+def star_communities(spark, sf_dir):
+    """Customers around their nations: parts without an edge between them, whose modularity is largest when each is whole."""
+    return communities.communities(_star_edges(spark, sf_dir))
+
+
+@query(f"WITH {_STARS_SQL} SELECT community, count(*) AS n, count(*) FILTER (id LIKE 'customer%') AS n_species, array_to_string(list_sort(list(id) FILTER (id LIKE 'customer%'))[1:8], '; ') AS keywords FROM members JOIN least USING (hub) GROUP BY community")
+def community_keywords(spark, sf_dir):
+    """Communities with their size and first labels."""
+    told = _star_edges(spark, sf_dir)
+    ids = told.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    kinds = ids.select("id", F.when(F.col("id").startswith("customer"), "Species").otherwise("Locality").alias("type"), F.col("id").alias("label"))
+    return communities.community_table(communities.communities(told), kinds)
 
 
 # ---------------------------------------------------------------- upserts and versions
