@@ -238,14 +238,3 @@ def locate_cascade(df: DataFrame, stages: list[tuple[str, DataFrame]], place: st
     blankc = F.col("decimalLatitude").isNull() | F.col("decimalLongitude").isNull()
     use = blankc & F.col("stage").isNotNull()
     return joined.withColumns({"decimalLatitude": F.when(use, F.col("latitude")).otherwise(F.col("decimalLatitude")), "decimalLongitude": F.when(use, F.col("longitude")).otherwise(F.col("decimalLongitude")), "geocodingSource": F.when(use, F.col("stage")).otherwise(F.col("geocodingSource"))}).select(*df.columns)
-
-
-def mentions(names_: DataFrame, name: str, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, name) where a text holds a name of one or two words, by joining on the words themselves."""
-    asked = names_.select(F.col(name).alias("name"), F.lower(blank(name)).alias("__key")).where("__key <> ''").distinct()
-    words = F.split(F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[^\p{L}\p{N}]+", " ")), " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(2)), " "))
-    grams = texts.select(id_col, F.explode(F.array_distinct(F.concat(words, pairs))).alias("__key")).where("__key <> ''")
-    return grams.join(asked, "__key").select(id_col, "name").distinct()
-
-

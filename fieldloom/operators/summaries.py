@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import citations
 from fieldloom.functions.names import blank
+from fieldloom.session import Workspace
 
 
 def checklist(atoms: DataFrame, fields: list[str], seq: Column, where: Column | None = None) -> DataFrame:
@@ -146,15 +147,31 @@ def overall_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return rows.agg(F.round(F.sum("hit") / n, 6).alias("accuracy"), *[F.round(F.sum(F.col(c) * F.col("support")) / n, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-def moving_average(df: DataFrame, by: list[str], order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """Per group the exponential moving average of its values in order, starting with the first.
+def moving_average(df: DataFrame, by: list[str], order: list[str], value: str, alpha: float = 0.3, block_bits: int = 12) -> DataFrame:
+    """Per group the exponential moving average of its values in order, starting with the first, and how many there are.
 
-    A group's values are gathered into one array, so groups must be sequences of
-    moderate length, such as one run's chunks.
+    A value is a map of the average before it, e -> a e + b; maps in a row are one
+    map again. Rows are sorted over all tasks and cut into blocks, each group's
+    rows of a block become one map, and a group's maps are then applied in turn:
+    a task holds a block, or one in 4,096 of a group's rows, and a group of any
+    size is spread. Null values go; a null group is a group; rows alike in order
+    go by value.
     """
-    values = F.transform(F.sort_array(F.collect_list(F.struct(*order, value))), lambda s: s[value].cast("double"))
-    fold = F.aggregate(F.slice("v", 2, 1 << 30), F.get("v", F.lit(0)), lambda e, x: alpha * x + (1 - alpha) * e)
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(values.alias("v")).select(*by, fold.alias("ema"), F.size("v").alias("n"))
+    work = Workspace(df.sparkSession, "average")
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*by).alias("g"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("x"))
+    keys = ["g", *[f"o{i}" for i in range(len(order))], "x"]
+    # rows alike in all are parted too
+    rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys, "tie").sortWithinPartitions(*keys)
+    rows = work.save(rows.select("g", "x").withColumn("at", F.monotonically_increasing_id()), "rows")
+    parts = rows.groupBy("g", F.shiftright("at", block_bits).alias("block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("v"))
+    # the first value of a block is carried as it is: as the average if the group begins there, else as a step from the one before
+    tail = F.aggregate(F.slice("v", F.lit(2), F.size("v")), F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")), lambda m, x: F.struct(((1 - alpha) * m["a"]).alias("a"), ((1 - alpha) * m["b"] + alpha * x).alias("b")))
+    maps = parts.select("g", "block", F.get("v", F.lit(0)).alias("x0"), tail.alias("m"), F.size("v").alias("n"))
+    chain = maps.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("block", "x0", "m"))).alias("c"), F.sum("n").cast("int").alias("n"))
+    first = F.get("c", F.lit(0))
+    apply = lambda e, s: s["m"]["a"] * (alpha * s["x0"] + (1 - alpha) * e) + s["m"]["b"]
+    ema = F.aggregate(F.slice("c", F.lit(2), F.size("c")), first["m"]["a"] * first["x0"] + first["m"]["b"], apply)
+    return chain.select("g.*", ema.alias("ema"), "n")
 
 
 def eta(ema: Column, remaining: Column, workers: Column) -> Column:

@@ -700,9 +700,9 @@ def vector_topk(spark, sf_dir):
     return retrieval.nearest_vectors(e, query, "vec_id", "embedding", 15).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda e, x: 0.3::DOUBLE * x + 0.7::DOUBLE * e), 6) AS ema, count(*)::INTEGER AS n FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def ema_duration(spark, sf_dir):
-    """Moving average of each user's values; no SQL form without recursion."""
+    """Moving average of each user's values."""
     e = read_table(spark, sf_dir, "events")
     return summaries.moving_average(e, ["user_id"], ["ts", "event_id"], "value").select("user_id", F.round("ema", 6).alias("ema"), "n")
 

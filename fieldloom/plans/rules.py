@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom import schemas
-from fieldloom.operators import annotate, dedup, feedback, filters, graph, lookup, nearest, reconcile, retrieval, segment, summaries, upserts
+from fieldloom.operators import annotate, dedup, feedback, filters, gazetteer, graph, lookup, nearest, reconcile, retrieval, segment, summaries, upserts
 from fieldloom.plans.queries import _E, _N, _TERM_SQL, occ_sql, query
 from fieldloom.plans.views import SEQ, SEQ_SQL, occurrence_view
 from fieldloom.session import read_table
@@ -185,7 +185,7 @@ def place_mentions(spark, sf_dir):
     """Texts that hold a name."""
     p = read_table(spark, sf_dir, "part")
     asked = p.select(F.regexp_extract(F.lower("p_name"), "^([a-z0-9]+)", 1).alias("w")).distinct()
-    return lookup.mentions(asked, "w", p, "p_partkey", "p_name")
+    return gazetteer.mentions(asked, "w", p, "p_partkey", "p_name")
 
 
 @query(occ_sql(f"SELECT {_ROW_SQL}, verbatimLocality || ', ' || phylum || ' District, S' AS place FROM occ"))
