@@ -111,3 +111,33 @@ def append_once(body: Column, addition: Column) -> Column:
 def species_map(df: DataFrame) -> DataFrame:
     """Points to draw: species, lat, lon, depth layer."""
     return df.where("decimalLatitude IS NOT NULL AND decimalLongitude IS NOT NULL").select(record_name().alias("species"), F.col("decimalLatitude").alias("lat"), F.col("decimalLongitude").alias("lon"), blank("occurrenceType").alias("layer"))
+
+
+def article_bodies(df: DataFrame, body: str) -> DataFrame:
+    """df with article (VARIANT) of its JSON text, and malformed: whether there is a text that is no JSON."""
+    parsed = F.try_parse_json(F.col(body))
+    return df.withColumns({"article": parsed, "malformed": F.col(body).isNotNull() & parsed.isNull()})
+
+
+def article_fields(df: DataFrame, fields: dict[str, tuple[str, str]], article: str = "article") -> DataFrame:
+    """df with fields of its articles: name to (path, type); null where an article lacks one or holds another type."""
+    return df.withColumns({name: F.try_variant_get(article, path, kind) for name, (path, kind) in fields.items()})
+
+
+def article_changed(article: Column | str, **changes: Column) -> Column:
+    """An article with members set; those of one name are replaced. What is no object has only the changes."""
+    old = F.try_variant_get(article, "$", "map<string,variant>")
+    new = F.map_from_arrays(F.array(*map(F.lit, changes)), F.array(*[F.parse_json(F.to_json(F.struct(v.alias("v")))).alias("v") for v in changes.values()]))
+    new = F.transform_values(new, lambda k, v: F.variant_get(v, "$.v", "variant"))
+    kept = F.map_filter(F.coalesce(old, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), lambda k, v: ~k.isin(*changes))
+    return F.to_variant_object(F.map_concat(kept, new))
+
+
+def article_text(article: Column | str) -> Column:
+    """An article as JSON text, members by name."""
+    return F.to_json(article)
+
+
+def article_schema(df: DataFrame, by: list[str], article: str = "article") -> DataFrame:
+    """Per group the schema that fits all its articles: fields of any of them, types widened."""
+    return df.groupBy(*by).agg(F.schema_of_variant_agg(article).alias("schema"))

@@ -180,3 +180,22 @@ def test_average_is_that_of_the_sequence(spark):
         got = {r["g"]: (r["ema"], r["n"]) for r in summaries.moving_average(df, ["g"], ["at"], "v", block_bits=bits).collect()}
         assert got.keys() == want.keys() and all(got[g][1] == want[g][1] and got[g][0] == pytest.approx(want[g][0], rel=1e-9) for g in want)
     assert summaries.moving_average(df.limit(0), ["g"], ["at"], "v").count() == 0
+
+
+def test_articles_as_variant(spark):
+    import json
+
+    from fieldloom.operators import articles
+
+    bodies = ['{"b": 1, "a": {"x": [1, "é"]}}', '{"b": "text"}', "{broken", None, "[1, 2]", "3", "{}"]
+    rows = articles.article_bodies(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string"), "body")
+    told = articles.article_fields(rows, {"b": ("$.b", "int"), "x": ("$.a.x[1]", "string")})
+    got = {r["i"]: r for r in told.select("i", "malformed", "b", "x", articles.article_text("article").alias("text"), articles.article_text(articles.article_changed("article", b=told["i"], new=told["body"])).alias("changed")).collect()}
+    assert [got[i]["malformed"] for i in range(7)] == [False, False, True, False, False, False, False]
+    assert (got[0]["b"], got[0]["x"], got[1]["b"], got[2]["b"]) == (1, "é", None, None)
+    # encoded and decoded again, nothing is lost
+    assert all(json.loads(got[i]["text"]) == json.loads(bodies[i]) for i in (0, 1, 4, 5, 6)) and got[2]["text"] is None
+    assert json.loads(got[0]["changed"]) == {"a": {"x": [1, "é"]}, "b": 0, "new": bodies[0]}
+    assert json.loads(got[5]["changed"]) == {"b": 5, "new": "3"}
+    schema = articles.article_schema(rows.where("i < 2").selectExpr("1 AS g", "article"), ["g"]).first()["schema"]
+    assert "a: OBJECT<x: ARRAY" in schema and "b: VARIANT" in schema
