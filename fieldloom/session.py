@@ -19,6 +19,8 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Of written tables, which hold whole texts.
 COMPRESSION = "zstd"
+#: Spark drops the shuffle files of a query that ends while this holds.
+SHUFFLE_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch to a Python worker, where the session keeps Spark's default: documents are long.
 ARROW_KEY, ARROW_ROWS, ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000", "10000"
 
@@ -84,10 +86,23 @@ class Workspace:
         found = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
         return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and return the written table."""
-        df.write.mode("overwrite").option("compression", COMPRESSION).parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+        """Write df once, below the workspace or at a path of the caller's, and return the written table."""
+        path = path or self.path(name)
+        df.write.mode("overwrite").option("compression", COMPRESSION).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def save_and_clean(self, df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+        """save(), after which the shuffle files that went into it are dropped, where Spark can; the session's setting comes back."""
+        before = self.spark.conf.get(SHUFFLE_CLEANUP_KEY, None)
+        self.spark.conf.set(SHUFFLE_CLEANUP_KEY, "true")
+        try:
+            return self.save(df, name, path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(SHUFFLE_CLEANUP_KEY)
+            else:
+                self.spark.conf.set(SHUFFLE_CLEANUP_KEY, before)
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing lazy reads any more."""
