@@ -14,30 +14,36 @@ where a text is preceded by an end. Each sums to 1 over all words and one unseen
 word, as far as counts are exact; P2 is P1 after a word that was never seen. The
 first token of a text goes by P2. Counts of words are exact.
 
-A filter of all n-grams grows with the corpus, so it is not broadcast whole. It
-is dealt out by ranges of the n-gram's hash into segments of bounded size, each
-built and probed in one task:
-
-1. A task reads its part of the documents in blocks of bounded bytes, writes each
-   block's tokens to a file in the shared folder, and sends every distinct word,
-   pair and triple of the block once, as sorted hashes with counts, to ranges.
-2. A range sums the counts, builds its segment, and answers each block with the
-   levels that probing it gives for the block's own n-grams.
-3. A block's answers meet at its file, and its documents are scored.
+A filter of all n-grams grows with the corpus, so no worker is sent all of it. It
+is stored: a table of segments of bounded size, one for each range of the
+n-gram's hash, which holds all there is of the model (fit_lm, LmModel.load). Texts
+are scored by probing it, those it never saw as well, in any later process:
+
+1. Fitting, a task reads its part of the training texts in blocks of bounded
+   bytes and sends each block's distinct words, pairs and triples, as sorted
+   hashes with counts, to ranges. A range sums the counts, enters them into its
+   segment and stores that; no count of an n-gram outlives it.
+2. Scoring, texts become a table of blocks, and every block asks each range for
+   its own distinct n-grams. A worker is sent the segments of the ranges that it
+   serves and answers with the levels that probing finds.
+3. A block's answers meet the block, and its documents are scored.
 
 What is sent grows in proportion to the corpus: at most a row for each n-gram,
 fewer where a block has many n-grams of a range. No key is hot, since a block
-sends an n-gram once. Words are told apart by 64-bit hashes, n-grams by 47 bits.
+sends an n-gram once. Blocks are rows of a written table, so a task that is run
+again asks for the same. Words are told apart by 64-bit hashes, n-grams by 47 bits.
 """
 
 from __future__ import annotations
 
 import math
 import struct
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import common
@@ -53,7 +59,9 @@ ADD, PAIR, TRIPLE = 0.1, 0.25, 10.0
 BASE, MAX_LEVEL = 1.25, 160
 HASHES, BITS_PER_ENTRY = 5, 8.0
 END = b""
-WORDS, GRAMS = 0, 1
+WORDS, GRAMS, TEXTS = 0, 1, 2
+#: Fewer keys than this are sent as they are: a frame would cost more than it saves.
+PLAIN_KEYS = 64
 _HEAD = "<BBIQ"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,30 +133,32 @@ def range_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def squeeze(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct keys and their counts, compressed; low bits that no key uses are left out."""
+def squeeze(keys: np.ndarray, counts: np.ndarray | None = None) -> bytes:
+    """Sorted distinct keys and their counts, if there are any, compressed; low bits that no key uses are left out."""
     import zstandard
 
     shift = 17 if not np.any(keys & np.uint64(0x1FFFF)) else 0
     keys = keys >> np.uint64(shift)
     steps = np.diff(keys)
     narrow = not len(steps) or int(steps.max()) < 2**32
-    small = int(counts.max()) < 2**8
-    body = steps.astype("<u4" if narrow else "<u8").tobytes() + counts.astype("<u1" if small else "<u8").tobytes()
-    return struct.pack(_HEAD, narrow + 2 * small, shift, len(keys), int(keys[0])) + zstandard.ZstdCompressor(level=1).compress(body)
+    small = counts is None or int(counts.max()) < 2**8
+    body = steps.astype("<u4" if narrow else "<u8").tobytes() + (b"" if counts is None else counts.astype("<u1" if small else "<u8").tobytes())
+    plain = len(keys) < PLAIN_KEYS
+    return struct.pack(_HEAD, narrow + 2 * small + 4 * plain, shift, len(keys), int(keys[0])) + (body if plain else zstandard.ZstdCompressor(level=1).compress(body))
 
 
 def expand(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """keys and counts of squeeze()."""
+    """keys and counts of squeeze(); no counts if it had none."""
     import zstandard
 
     flags, shift, n, first = struct.unpack_from(_HEAD, data)
-    body = zstandard.ZstdDecompressor().decompress(data[struct.calcsize(_HEAD) :])
+    body = data[struct.calcsize(_HEAD) :]
+    body = body if flags & 4 else zstandard.ZstdDecompressor().decompress(body)
     steps = np.frombuffer(body, "<u4" if flags & 1 else "<u8", n - 1)
     keys = np.empty(n, np.uint64)
     keys[0] = first
     keys[1:] = np.uint64(first) + np.cumsum(steps, dtype=np.uint64)
-    return keys << np.uint64(shift), np.frombuffer(body, "<u1" if flags & 2 else "<u8", n, steps.nbytes).astype(np.int64)
+    return keys << np.uint64(shift), np.frombuffer(body, "<u1" if flags & 2 else "<u8", offset=steps.nbytes).astype(np.int64)
 
 
 class LocalIds(dict):
@@ -249,110 +259,177 @@ def _unpacked(cells: list[tuple[int, bytes]], kind: str, n: int) -> np.ndarray:
     return out
 
 
-def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_entries: int = RANGE_ENTRIES, bits_per_entry: float = BITS_PER_ENTRY) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def _blocks(batches, block_bytes: int):
+    """(ids, texts, flags) of blocks of batches (id, text, flag), each of about so many bytes or of one longer text."""
+    ids, texts, flags, held = [], [], [], 0
+    for batch in batches:
+        column, values, marks = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        first = 0
+        for i, text in enumerate(values):
+            texts.append(text)
+            flags.append(marks[i])
+            held += len(text) + 8
+            if held >= block_bytes:
+                ids.append(column.slice(first, i + 1 - first))
+                yield ids, texts, flags
+                ids, texts, flags, held, first = [], [], [], 0, i + 1
+        if first < len(values):
+            ids.append(column.slice(first))
+    if texts:
+        yield ids, texts, flags
+
+
+@dataclass
+class LmModel:
+    """The stored filter: segments (kind, range, ranges, m, entries, total, distinct, data), and what they hold in all."""
+
+    segments: DataFrame
+    n_ranges: int
+    n_tokens: int
+    n_words: int
 
-    The model learns from every row where held_out is false (null counts as
-    false); all rows are scored. A null text counts as empty and is one token,
-    its end. Ids may be of any type, null or repeated; repeated rows give
-    repeated results, and each counts in training. With nothing to learn from,
-    all counts are 0. An empty table gives no rows; other columns are not read.
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LmModel:
+        """The model that fit_lm stored at path, with nothing else than that table."""
+        segments = spark.read.parquet(path)
+        n_ranges, n_tokens, n_words = segments.agg(F.coalesce(F.max("ranges"), F.lit(1)), F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+        return cls(segments, n_ranges, n_tokens, n_words)
+
+    def error_rate(self) -> float:
+        """Share of n-grams never seen that the filter takes for seen."""
+        entries, bits = self.segments.where(F.col("kind") == GRAMS).agg(F.sum("entries"), F.sum("m")).first()
+        return (1.0 - math.exp(-HASHES * entries / bits)) ** HASHES if bits else 0.0
+
+
+def fit_lm(docs: DataFrame, path: str, text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_entries: int = RANGE_ENTRIES, bits_per_entry: float = BITS_PER_ENTRY, work: Workspace | None = None) -> LmModel:
+    """Learn from every row of docs and store the filter as a table at path.
+
+    A null text counts as empty and is one token, its end; repeated rows each
+    count. An empty table gives a model that has seen nothing.
     """
     spark = docs.sparkSession
-    work = Workspace(spark, "lm")
-    folder = work.uri("blocks")
-    rows = docs.select(common.named(id_col).alias("doc_id"), F.coalesce(common.named(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    work = work or Workspace(spark, "lm_fit")
+    rows = docs.select(F.lit(0).alias("id"), F.coalesce(common.named(text_col), F.lit("")).alias("text"), F.lit(True).alias("flag"))
     n_docs, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     # a word of text takes six bytes or so, and gives a pair and a triple
     n_ranges = max(1, -(-(n_bytes // 3 + 2 * n_docs) // range_entries))
+    sent = pa.schema([("kind", pa.int32()), ("range", pa.int32()), ("data", pa.binary())])
+
+    def count(batches):
+        for _, texts, flags in _blocks(batches, block_bytes):
+            block = Block.of(texts, flags)
+            order = np.argsort(block.hashes)
+            words = np.bincount(block.tokens, minlength=len(block.hashes))
+            keys, pair, triple = block.grams()
+            # triples come after the pair that is their context; -1 is a text's first token, which has none
+            grams = np.bincount(pair, minlength=len(keys)) + np.bincount(triple[triple >= 0], minlength=len(keys))
+            for kind, some, n in ((WORDS, block.hashes[order], words[order]), (GRAMS, keys, grams)):
+                cells = list(_cells(some, n_ranges))
+                yield pa.record_batch([pa.array([kind] * len(cells), pa.int32()), pa.array([r for r, _, _ in cells], pa.int32()), pa.array([squeeze(some[a:b], n[a:b]) for _, a, b in cells], pa.binary())], sent)
+
+    kinds = "kind int, range int, ranges int, m long, entries long, total long, distinct long, data binary"
+    names = [x.split()[0] for x in kinds.split(", ")]
+
+    def enter(batches):
+        held: dict[tuple[int, int], list[bytes]] = {}
+        for batch in batches:
+            for kind, at, data in zip(*(common.column(batch, c) for c in ("kind", "range", "data")), strict=True):
+                held.setdefault((at, kind), []).append(data)
+        for at, kind in list(held):
+            each = [expand(data) for data in held.pop((at, kind))]
+            keys, places = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
+            n = np.bincount(places, weights=np.concatenate([c for _, c in each]), minlength=len(keys)).astype(np.int64)
+            if kind == WORDS:
+                row = (kind, at, n_ranges, 0, 0, int(n.sum()), len(keys), squeeze(keys, n))
+            else:
+                level = levels(n)
+                m = bits_of(level, bits_per_entry)
+                row = (kind, at, n_ranges, m, int(level.sum()), 0, 0, build(keys, level, m).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [*[pa.int32()] * 3, *[pa.int64()] * 4, pa.binary()], strict=True)], names=names)
 
-    # kinds: WORDS and GRAMS, cells of what a block holds; ids, the block's documents
-    sent = pa.schema([("kind", pa.int32()), ("block", pa.string()), ("range", pa.int32()), ("data", pa.binary())])
+    cells = rows.mapInArrow(common.tidy(count), "kind int, range int, data binary")
+    work.save_and_clean(cells.repartitionById(n_ranges, F.col("range")).mapInArrow(common.tidy(enter), kinds), "segments", path)
+    return LmModel.load(spark, path)
 
-    def gather(batches):
-        from pyspark import TaskContext
 
-        part, n = TaskContext.get().partitionId(), 0
-        ids, texts, train, held = [], [], [], 0
+def score_lm(docs: DataFrame, model: LmModel, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_entries: int = RANGE_ENTRIES, work: Workspace | None = None) -> DataFrame:
+    """Per row: doc_id, held_out (a mark that is carried along), n_tokens, n_known, train_tokens, base_score, score, by a stored model."""
+    spark = docs.sparkSession
+    work = work or Workspace(spark, "lm_score")
+    rows = docs.select(common.named(id_col).alias("doc_id"), F.coalesce(common.named(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    n_docs, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # a range is asked in so many parts that one is bounded, whatever was learned from
+    per_range = max(1, -(-(n_bytes // 3 + 2 * n_docs) // range_entries // model.n_ranges))
+    n_parts = model.n_ranges * per_range
+
+    def pack(batches):
+        for ids, texts, flags in _blocks(batches, block_bytes):
+            block = Block.of(texts, [not x for x in flags])
+            table = pa.table([pa.chunked_array(ids)], names=["doc_id"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            # the name of what is committed; a lost attempt's rows go with it
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([block.data()], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data", "ids"])
+
+    blocks = work.save(rows.mapInArrow(common.tidy(pack), "block string, data binary, ids binary"), "blocks")
+    asking = pa.schema([("kind", pa.int32()), ("block", pa.string()), ("part", pa.int32()), ("data", pa.binary())])
+
+    def ask(batches):
         for batch in batches:
-            column, values, flags = batch.column(0), common.column(batch, "text"), common.column(batch, "held_out")
-            first = 0
-            for i, text in enumerate(values):
-                texts.append(text)
-                train.append(not flags[i])
-                held += len(text) + 8
-                if held >= block_bytes:
-                    ids.append(column.slice(first, i + 1 - first))
-                    yield from send(f"{part:06d}-{n:06d}", ids, texts, train)
-                    ids, texts, train, held, first, n = [], [], [], 0, i + 1, n + 1
-            if first < len(values):
-                ids.append(column.slice(first))
-        if texts:
-            yield from send(f"{part:06d}-{n:06d}", ids, texts, train)
-
-    def send(name, ids, texts, train):
-        block = Block.of(texts, train)
-        common.write_file(f"{folder}/{name}", block.data())
-        table = pa.table([pa.chunked_array(ids)], names=["doc_id"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        common.write_file(f"{folder}/{name}.ids", sink.getvalue().to_pybytes())
-        learned = np.repeat(block.train, block.lengths)
-        order = np.argsort(block.hashes)
-        counts = np.bincount(block.tokens[learned], minlength=len(block.hashes))
-        keys, pair, triple = block.grams()
-        # triples come after the pair that is their context; -1 is a text's first token, which has none
-        n_grams = np.bincount(pair[learned], minlength=len(keys)) + np.bincount(triple[learned & (triple >= 0)], minlength=len(keys))
-        for kind, some, n in ((WORDS, block.hashes[order], counts[order]), (GRAMS, keys, n_grams)):
-            cells = list(_cells(some, n_ranges))
-            yield pa.record_batch([pa.array([kind] * len(cells), pa.int32()), pa.array([name] * len(cells)), pa.array([r for r, _, _ in cells], pa.int32()), pa.array([squeeze(some[a:b], n[a:b]) for _, a, b in cells], pa.binary())], sent)
-
-    cells = rows.mapInArrow(common.tidy(gather), "kind int, block string, range int, data binary")
-
-    # each range sums its words and n-grams and answers every block, in the order of the block's keys
-    told = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("range", pa.int32()), ("data", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
+            for name, data in zip(common.column(batch, "block"), common.column(batch, "data"), strict=True):
+                block = Block.read(data)
+                for kind, some in ((WORDS, np.sort(block.hashes)), (GRAMS, block.grams()[0])):
+                    cells = list(_cells(some, n_parts))
+                    yield pa.record_batch([pa.array([kind] * len(cells), pa.int32()), pa.array([name] * len(cells)), pa.array([r for r, _, _ in cells], pa.int32()), pa.array([squeeze(some[a:b]) for _, a, b in cells], pa.binary())], asking)
+
+    cells = blocks.select("block", "data").mapInArrow(common.tidy(ask), "kind int, block string, part int, data binary").withColumn("m", F.lit(None).cast("long"))
+    parts = F.explode(F.sequence(F.col("range") * per_range, (F.col("range") + 1) * per_range - 1)).alias("part")
+    segments = model.segments.select("kind", F.lit(None).cast("string").alias("block"), parts, "data", "m")
 
     def answer(batches):
         asked: dict[tuple[int, int], list[tuple[str, bytes]]] = {}
+        learned: dict[tuple[int, int], tuple[bytes, int]] = {}
         for batch in batches:
-            for kind, block, at, data in zip(*(common.column(batch, c) for c in ("kind", "block", "range", "data")), strict=True):
-                asked.setdefault((at, kind), []).append((block, data))
+            for kind, block, at, data, m in zip(*(common.column(batch, c) for c in ("kind", "block", "part", "data", "m")), strict=True):
+                if block is None:
+                    learned[at, kind] = data, m
+                else:
+                    asked.setdefault((at, kind), []).append((block, data))
         for at, kind in list(asked):
             mine = asked.pop((at, kind))
-            each = [expand(data) for _, data in mine]
-            keys, places = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
-            n = np.bincount(places, weights=np.concatenate([c for _, c in each]), minlength=len(keys)).astype(np.int64)
-            total, distinct = (int(n.sum()), int((n > 0).sum())) if kind == WORDS else (0, 0)
-            if kind == GRAMS:
-                level = levels(n)
-                m = bits_of(level, bits_per_entry)
-                segment = build(keys, level, m)
-                # from here on only the segment tells the counts
-                n = probe(segment, m, keys)
+            each = [expand(data)[0] for _, data in mine]
+            keys, places = np.unique(np.concatenate(each), return_inverse=True)
+            data, m = learned.pop((at, kind), (None, 0))
+            if data is None:
+                n = np.zeros(len(keys), np.int64 if kind == WORDS else np.uint8)
+            elif kind == WORDS:
+                known, counts = expand(data)
+                spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                n = np.where(known[spot] == keys, counts[spot], 0)
+            else:
+                n = probe(np.frombuffer(data, np.uint8), m, keys)
             answers, done = [], 0
-            for k, _ in each:
+            for k in each:
                 answers.append(_packed(n[places[done : done + len(k)]]))
                 done += len(k)
-            many = len(mine)
-            yield pa.record_batch([pa.array([b for b, _ in mine]), pa.array([kind] * many, pa.int32()), pa.array([at] * many, pa.int32()), pa.array(answers, pa.binary()), pa.array([total] + [0] * (many - 1)), pa.array([distinct] + [0] * (many - 1))], told)
+            yield pa.record_batch([pa.array([kind] * len(mine), pa.int32()), pa.array([b for b, _ in mine]), pa.array([at] * len(mine), pa.int32()), pa.array(answers, pa.binary())], asking)
 
-    answers = cells.repartitionById(n_ranges, F.col("range")).mapInArrow(common.tidy(answer), "block string, kind int, range int, data binary, total long, distinct long")
-    answers = work.save(answers, "answers")
-    n_train, n_words = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    n_blocks = answers.select("block").distinct().count()
-    floor = n_train + ADD * (n_words + 1)
+    both = cells.unionByName(segments).repartitionById(n_parts, F.col("part"))
+    answers = work.save_and_clean(both.mapInArrow(common.tidy(answer), "kind int, block string, part int, data binary"), "answers")
+    n_train = model.n_tokens
+    floor = n_train + ADD * (model.n_words + 1)
 
     def score(batches):
-        waiting: dict[str, tuple[list, list]] = {}
+        waiting: dict[str, tuple[list, list, list]] = {}
         for batch in batches:
-            for block, kind, at, data in zip(*(common.column(batch, c) for c in ("block", "kind", "range", "data")), strict=True):
-                waiting.setdefault(block, ([], []))[kind].append((at, data))
+            for block, kind, at, data, ids in zip(*(common.column(batch, c) for c in ("block", "kind", "part", "data", "ids")), strict=True):
+                waiting.setdefault(block, ([], [], []))[kind].append((data, ids) if kind == TEXTS else (at, data))
         for name in list(waiting):
-            words, grams = waiting.pop(name)
-            block = Block.read(common.read_file(f"{folder}/{name}"))
-            ids = pa.ipc.open_stream(common.read_file(f"{folder}/{name}.ids")).read_all().column(0)
+            words, grams, ((data, ids),) = waiting.pop(name)
+            block = Block.read(data)
+            ids = pa.ipc.open_stream(ids).read_all().column(0)
             exact = np.empty(len(block.hashes), np.int64)
             exact[np.argsort(block.hashes)] = _unpacked(words, "<i8", len(block.hashes))
             keys, pair, triple = block.grams()
@@ -364,8 +441,25 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             n = len(block.lengths)
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids.chunks), pa.array(~block.train), pa.array(block.lengths), pa.array(sums[0]), pa.array([n_train] * n, pa.int64()), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    dealt = answers.select("block", "kind", "range", "data").repartition(max(1, n_blocks), "block")
-    return dealt.mapInArrow(common.tidy(score), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = blocks.select(F.lit(TEXTS).alias("kind"), "block", F.lit(0).alias("part"), "data", "ids")
+    met = answers.withColumn("ids", F.lit(None).cast("binary")).unionByName(texts).repartition(max(1, blocks.count()), "block")
+    return met.mapInArrow(common.tidy(score), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_entries: int = RANGE_ENTRIES, bits_per_entry: float = BITS_PER_ENTRY) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    The model learns from every row where held_out is false (null counts as
+    false) and is stored; all rows are scored by it. A null text counts as empty
+    and is one token, its end. Ids may be of any type, null or repeated; repeated
+    rows give repeated results, and each counts in training. With nothing to
+    learn from, all counts are 0. An empty table gives no rows; other columns
+    are not read.
+    """
+    work = Workspace(docs.sparkSession, "lm")
+    learned = docs.where(~F.coalesce(held_out, F.lit(False)))
+    model = fit_lm(learned, work.path("segments"), text_col, block_bytes, range_entries, bits_per_entry, work)
+    return score_lm(docs, model, held_out, id_col, text_col, block_bytes, range_entries, work)
 
 
 def smoothed(word: np.ndarray, gram: np.ndarray, tokens: np.ndarray, before: np.ndarray, pair: np.ndarray, triple: np.ndarray, floor: float) -> np.ndarray:

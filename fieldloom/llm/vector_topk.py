@@ -15,6 +15,7 @@ computed and read is queries times candidates, as in any exhaustive search.
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -184,22 +185,19 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     told = pa.schema([("uri", pa.string()), ("dims", pa.int32())])
 
     def pack(batches):
-        from pyspark import TaskContext
-
-        blocks, n, part = Blocks(block), 0, TaskContext.get().partitionId()
+        blocks = Blocks(block)
 
         def put(dims, kind, ids, values):
-            uri = f"{folder}/block-{part:06d}-{n:06d}"
+            # a name of its own, told by the row: files of a lost attempt are in no manifest
+            uri = f"{folder}/block-{uuid.uuid4().hex}"
             common.write_file(uri, _packed(kind, ids, values))
             return pa.record_batch([pa.array([uri]), pa.array([dims], pa.int32())], told)
 
         for batch in batches:
             for full in blocks.add(batch.column(0).to_numpy(), batch.column(1)):
                 yield put(*full)
-                n += 1
         for full in blocks.rest():
             yield put(*full)
-            n += 1
 
     work.save(pick(vectors).mapInArrow(pack, "uri string, dims int"), "manifest")
     manifest = work.uri("manifest")
