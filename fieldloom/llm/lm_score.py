@@ -23,15 +23,14 @@ are scored by probing it, those it never saw as well, in any later process:
    bytes and sends each block's distinct words, pairs and triples, as sorted
    hashes with counts, to ranges. A range sums the counts, enters them into its
    segment and stores that; no count of an n-gram outlives it.
-2. Scoring, texts become a table of blocks, and every block asks each range for
-   its own distinct n-grams. A worker is sent the segments of the ranges that it
+2. Scoring, texts become files of blocks, told by a written table, and every block
+   asks each range for its own distinct n-grams. A worker is sent the segments of the ranges that it
    serves and answers with the levels that probing finds.
 3. A block's answers meet the block, and its documents are scored.
 
 What is sent grows in proportion to the corpus: at most a row for each n-gram,
 fewer where a block has many n-grams of a range. No key is hot, since a block
-sends an n-gram once. Blocks are rows of a written table, so a task that is run
-again asks for the same. Words are told apart by 64-bit hashes, n-grams by 47 bits.
+sends an n-gram once. A task that is run again reads the same blocks. Words are told apart by 64-bit hashes, n-grams by 47 bits.
 """
 
 from __future__ import annotations
@@ -40,6 +39,7 @@ import math
 import struct
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +59,9 @@ ADD, PAIR, TRIPLE = 0.1, 0.25, 10.0
 BASE, MAX_LEVEL = 1.25, 160
 HASHES, BITS_PER_ENTRY = 5, 8.0
 END = b""
-WORDS, GRAMS, TEXTS = 0, 1, 2
+WORDS, GRAMS = 0, 1
+#: Shares of the blocks that ask one after the other.
+ROUNDS = 2
 #: Fewer keys than this are sent as they are: a frame would cost more than it saves.
 PLAIN_KEYS = 64
 _HEAD = "<BBIQ"
@@ -356,6 +358,7 @@ def score_lm(docs: DataFrame, model: LmModel, held_out: Column, id_col: str = "d
     """Per row: doc_id, held_out (a mark that is carried along), n_tokens, n_known, train_tokens, base_score, score, by a stored model."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "lm_score")
+    folder = work.uri("texts")
     rows = docs.select(common.named(id_col).alias("doc_id"), F.coalesce(common.named(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     n_docs, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -370,21 +373,26 @@ def score_lm(docs: DataFrame, model: LmModel, held_out: Column, id_col: str = "d
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
-            # the name of what is committed; a lost attempt's rows go with it
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([block.data()], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "data", "ids"])
-
-    blocks = work.save(rows.mapInArrow(common.tidy(pack), "block string, data binary, ids binary"), "blocks")
+            # a name of its own, told by the row that is committed: files of a lost attempt are in no manifest
+            name = uuid.uuid4().hex
+            common.write_file(f"{folder}/{name}", block.data())
+            common.write_file(f"{folder}/{name}.ids", sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["block"])
+
+    blocks = work.save(rows.mapInArrow(common.tidy(pack), "block string"), "blocks")
+    n_blocks = max(1, blocks.count())
     asking = pa.schema([("kind", pa.int32()), ("block", pa.string()), ("part", pa.int32()), ("data", pa.binary())])
 
     def ask(batches):
         for batch in batches:
-            for name, data in zip(common.column(batch, "block"), common.column(batch, "data"), strict=True):
-                block = Block.read(data)
+            for name in common.column(batch, "block"):
+                block = Block.read(common.read_file(f"{folder}/{name}"))
                 for kind, some in ((WORDS, np.sort(block.hashes)), (GRAMS, block.grams()[0])):
                     cells = list(_cells(some, n_parts))
                     yield pa.record_batch([pa.array([kind] * len(cells), pa.int32()), pa.array([name] * len(cells)), pa.array([r for r, _, _ in cells], pa.int32()), pa.array([squeeze(some[a:b]) for _, a, b in cells], pa.binary())], asking)
 
-    cells = blocks.select("block", "data").mapInArrow(common.tidy(ask), "kind int, block string, part int, data binary").withColumn("m", F.lit(None).cast("long"))
+    dealt = blocks.withColumn("turn", F.pmod(F.xxhash64("block"), F.lit(ROUNDS))).repartition(n_blocks, "block")
+    cells = lambda turn: dealt.where(F.col("turn") == turn).select("block").mapInArrow(common.tidy(ask), "kind int, block string, part int, data binary").withColumn("m", F.lit(None).cast("long"))
     parts = F.explode(F.sequence(F.col("range") * per_range, (F.col("range") + 1) * per_range - 1)).alias("part")
     segments = model.segments.select("kind", F.lit(None).cast("string").alias("block"), parts, "data", "m")
 
@@ -416,20 +424,24 @@ def score_lm(docs: DataFrame, model: LmModel, held_out: Column, id_col: str = "d
                 done += len(k)
             yield pa.record_batch([pa.array([kind] * len(mine), pa.int32()), pa.array([b for b, _ in mine]), pa.array([at] * len(mine), pa.int32()), pa.array(answers, pa.binary())], asking)
 
-    both = cells.unionByName(segments).repartitionById(n_parts, F.col("part"))
-    answers = work.save_and_clean(both.mapInArrow(common.tidy(answer), "kind int, block string, part int, data binary"), "answers")
+    # what is asked is on disk for one share of the blocks at a time
+    told = []
+    for turn in range(ROUNDS):
+        both = cells(turn).unionByName(segments).repartitionById(n_parts, F.col("part"))
+        told.append(work.save_and_clean(both.mapInArrow(common.tidy(answer), "kind int, block string, part int, data binary"), f"answers{turn}"))
+    answers = reduce(DataFrame.unionByName, told)
     n_train = model.n_tokens
     floor = n_train + ADD * (model.n_words + 1)
 
     def score(batches):
-        waiting: dict[str, tuple[list, list, list]] = {}
+        waiting: dict[str, tuple[list, list]] = {}
         for batch in batches:
-            for block, kind, at, data, ids in zip(*(common.column(batch, c) for c in ("block", "kind", "part", "data", "ids")), strict=True):
-                waiting.setdefault(block, ([], [], []))[kind].append((data, ids) if kind == TEXTS else (at, data))
+            for block, kind, at, data in zip(*(common.column(batch, c) for c in ("block", "kind", "part", "data")), strict=True):
+                waiting.setdefault(block, ([], []))[kind].append((at, data))
         for name in list(waiting):
-            words, grams, ((data, ids),) = waiting.pop(name)
-            block = Block.read(data)
-            ids = pa.ipc.open_stream(ids).read_all().column(0)
+            words, grams = waiting.pop(name)
+            block = Block.read(common.read_file(f"{folder}/{name}"))
+            ids = pa.ipc.open_stream(common.read_file(f"{folder}/{name}.ids")).read_all().column(0)
             exact = np.empty(len(block.hashes), np.int64)
             exact[np.argsort(block.hashes)] = _unpacked(words, "<i8", len(block.hashes))
             keys, pair, triple = block.grams()
@@ -441,9 +453,7 @@ def score_lm(docs: DataFrame, model: LmModel, held_out: Column, id_col: str = "d
             n = len(block.lengths)
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids.chunks), pa.array(~block.train), pa.array(block.lengths), pa.array(sums[0]), pa.array([n_train] * n, pa.int64()), pa.array(sums[1]), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    texts = blocks.select(F.lit(TEXTS).alias("kind"), "block", F.lit(0).alias("part"), "data", "ids")
-    met = answers.withColumn("ids", F.lit(None).cast("binary")).unionByName(texts).repartition(max(1, blocks.count()), "block")
-    return met.mapInArrow(common.tidy(score), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answers.repartition(n_blocks, "block").mapInArrow(common.tidy(score), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, range_entries: int = RANGE_ENTRIES, bits_per_entry: float = BITS_PER_ENTRY) -> DataFrame:
@@ -459,7 +469,10 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     work = Workspace(docs.sparkSession, "lm")
     learned = docs.where(~F.coalesce(held_out, F.lit(False)))
     model = fit_lm(learned, work.path("segments"), text_col, block_bytes, range_entries, bits_per_entry, work)
-    return score_lm(docs, model, held_out, id_col, text_col, block_bytes, range_entries, work)
+    scored = score_lm(docs, model, held_out, id_col, text_col, block_bytes, range_entries, work)
+    # the answers are written, so nothing reads the filter any more
+    work.drop("segments")
+    return scored
 
 
 def smoothed(word: np.ndarray, gram: np.ndarray, tokens: np.ndarray, before: np.ndarray, pair: np.ndarray, triple: np.ndarray, floor: float) -> np.ndarray:
