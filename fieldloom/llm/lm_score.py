@@ -163,6 +163,19 @@ def expand(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys << np.uint64(shift), np.frombuffer(body, "<u1" if flags & 2 else "<u8", offset=steps.nbytes).astype(np.int64)
 
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    if not np.any(keys & np.uint64(0x1FFFF)) and (not len(counts) or int(counts.max()) < 1 << 17):
+        # counts fit below the keys, and plain numbers sort faster than an order of them
+        both = np.sort(keys | counts.astype(np.uint64))
+        keys, counts = both & ~np.uint64(0x1FFFF), (both & np.uint64(0x1FFFF)).astype(np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+    return keys[starts], np.add.reduceat(counts, starts)
+
+
 class LocalIds(dict):
     """Numbers keys in order of appearance."""
 
@@ -211,6 +224,12 @@ class Block:
         key[self.starts] = 0
         return key
 
+    def gram_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct n-gram keys, and how often each occurs; as grams(), without the places, which cost a slower sort."""
+        pairs = self.pair_keys()
+        triples = self.triple_keys(pairs)
+        return np.unique(np.concatenate([pairs, triples[triples != 0]]), return_counts=True)
+
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct n-gram keys, and the place in them of each token's pair and of its triple (-1: none)."""
         pairs = self.pair_keys()
@@ -322,9 +341,7 @@ def fit_lm(docs: DataFrame, path: str, text_col: str = "text", block_bytes: int
             block = Block.of(texts, flags)
             order = np.argsort(block.hashes)
             words = np.bincount(block.tokens, minlength=len(block.hashes))
-            keys, pair, triple = block.grams()
-            # triples come after the pair that is their context; -1 is a text's first token, which has none
-            grams = np.bincount(pair, minlength=len(keys)) + np.bincount(triple[triple >= 0], minlength=len(keys))
+            keys, grams = block.gram_counts()
             for kind, some, n in ((WORDS, block.hashes[order], words[order]), (GRAMS, keys, grams)):
                 cells = list(_cells(some, n_ranges))
                 yield pa.record_batch([pa.array([kind] * len(cells), pa.int32()), pa.array([r for r, _, _ in cells], pa.int32()), pa.array([squeeze(some[a:b], n[a:b]) for _, a, b in cells], pa.binary())], sent)
@@ -339,8 +356,7 @@ def fit_lm(docs: DataFrame, path: str, text_col: str = "text", block_bytes: int
                 held.setdefault((at, kind), []).append(data)
         for at, kind in list(held):
             each = [expand(data) for data in held.pop((at, kind))]
-            keys, places = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
-            n = np.bincount(places, weights=np.concatenate([c for _, c in each]), minlength=len(keys)).astype(np.int64)
+            keys, n = summed(np.concatenate([k for k, _ in each]), np.concatenate([c for _, c in each]))
             if kind == WORDS:
                 row = (kind, at, n_ranges, 0, 0, int(n.sum()), len(keys), squeeze(keys, n))
             else:
@@ -387,7 +403,7 @@ def score_lm(docs: DataFrame, model: LmModel, held_out: Column, id_col: str = "d
         for batch in batches:
             for name in common.column(batch, "block"):
                 block = Block.read(common.read_file(f"{folder}/{name}"))
-                for kind, some in ((WORDS, np.sort(block.hashes)), (GRAMS, block.grams()[0])):
+                for kind, some in ((WORDS, np.sort(block.hashes)), (GRAMS, block.gram_counts()[0])):
                     cells = list(_cells(some, n_parts))
                     yield pa.record_batch([pa.array([kind] * len(cells), pa.int32()), pa.array([name] * len(cells)), pa.array([r for r, _, _ in cells], pa.int32()), pa.array([squeeze(some[a:b]) for _, a, b in cells], pa.binary())], asking)
 
@@ -408,7 +424,8 @@ def score_lm(docs: DataFrame, model: LmModel, held_out: Column, id_col: str = "d
         for at, kind in list(asked):
             mine = asked.pop((at, kind))
             each = [expand(data)[0] for _, data in mine]
-            keys, places = np.unique(np.concatenate(each), return_inverse=True)
+            # a key that several blocks ask is probed for each: that costs less than to sort them out
+            keys = np.concatenate(each)
             data, m = learned.pop((at, kind), (None, 0))
             if data is None:
                 n = np.zeros(len(keys), np.int64 if kind == WORDS else np.uint8)
@@ -420,7 +437,7 @@ def score_lm(docs: DataFrame, model: LmModel, held_out: Column, id_col: str = "d
                 n = probe(np.frombuffer(data, np.uint8), m, keys)
             answers, done = [], 0
             for k in each:
-                answers.append(_packed(n[places[done : done + len(k)]]))
+                answers.append(_packed(n[done : done + len(k)]))
                 done += len(k)
             yield pa.record_batch([pa.array([kind] * len(mine), pa.int32()), pa.array([b for b, _ in mine]), pa.array([at] * len(mine), pa.int32()), pa.array(answers, pa.binary())], asking)
 

@@ -7,6 +7,7 @@ import sys
 import textwrap
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,23 @@ def test_block_files_of_a_lost_attempt_are_not_read(spark, monkeypatch):
     monkeypatch.setattr(Workspace, "save", twice)
     again = vector_topk.exact_topk(df.orderBy(F.desc("vec_id")), df.where("vec_id % 20 = 0"), 5, block=32).orderBy("query_id", "rank").collect()
     assert packs and packs[0] and again == want
+
+
+def test_sums_of_keys():
+    rng = np.random.default_rng(2)
+    for shift, most in ((17, 100), (17, 1 << 40), (0, 100)):
+        keys = rng.integers(0, 50, 400).astype(np.uint64) << np.uint64(shift)
+        counts = rng.integers(1, most, 400)
+        want = {}
+        for k, c in zip(keys.tolist(), counts.tolist(), strict=True):
+            want[k] = want.get(k, 0) + c
+        found, n = lm_score.summed(keys, counts)
+        assert dict(zip(found.tolist(), n.tolist(), strict=True)) == want and found.tolist() == sorted(want)
+
+
+def test_counts_are_those_of_the_places():
+    block = lm_score.Block.of(["a b a b c", "", "a b", "x"], [True] * 4)
+    keys, pair, triple = block.grams()
+    found, n = block.gram_counts()
+    assert (found == keys).all()
+    assert (n == np.bincount(pair, minlength=len(keys)) + np.bincount(triple[triple >= 0], minlength=len(keys))).all()
