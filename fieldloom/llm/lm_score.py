@@ -53,7 +53,7 @@ from fieldloom.session import Workspace
 #: Bytes of text that a block holds, about; a longer text is a block of its own.
 BLOCK_BYTES = 8_000_000
 #: N-grams of all blocks that one task sums, about.
-RANGE_ENTRIES = 4_000_000
+RANGE_ENTRIES = 2_000_000
 ADD, PAIR, TRIPLE = 0.1, 0.25, 10.0
 #: Counts are kept to within this factor.
 BASE, MAX_LEVEL = 1.25, 160
@@ -165,10 +165,12 @@ def expand(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
-    if not np.any(keys & np.uint64(0x1FFFF)) and (not len(counts) or int(counts.max()) < 1 << 17):
+    if not int(np.bitwise_or.reduce(keys)) & 0x1FFFF and (not len(counts) or int(counts.max()) < 1 << 17):
         # counts fit below the keys, and plain numbers sort faster than an order of them
-        both = np.sort(keys | counts.astype(np.uint64))
-        keys, counts = both & ~np.uint64(0x1FFFF), (both & np.uint64(0x1FFFF)).astype(np.int64)
+        both = keys | counts.view(np.uint64)
+        both.sort()
+        keys, counts = both & ~np.uint64(0x1FFFF), (both & np.uint64(0x1FFFF)).view(np.int64)
+        del both
     else:
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
@@ -356,7 +358,9 @@ def fit_lm(docs: DataFrame, path: str, text_col: str = "text", block_bytes: int
                 held.setdefault((at, kind), []).append(data)
         for at, kind in list(held):
             each = [expand(data) for data in held.pop((at, kind))]
-            keys, n = summed(np.concatenate([k for k, _ in each]), np.concatenate([c for _, c in each]))
+            keys, n = np.concatenate([k for k, _ in each]), np.concatenate([c for _, c in each])
+            del each
+            keys, n = summed(keys, n)
             if kind == WORDS:
                 row = (kind, at, n_ranges, 0, 0, int(n.sum()), len(keys), squeeze(keys, n))
             else:
