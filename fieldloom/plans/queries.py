@@ -582,10 +582,18 @@ def text_spans(spark, sf_dir):
     return annotate.spans(read_table(spark, sf_dir, "documents")).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    r"""WITH d AS (SELECT doc_id, text || ' Aus bus was found at ' || CASE doc_id % 3 WHEN 0 THEN 'Okha Reef' WHEN 1 THEN 'Gulf of Kutch' ELSE 'Mandvi' END || '.' AS t FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, count(*) FILTER (subject = 'Aus bus') AS told, any_value(object) FILTER (subject = 'Aus bus') AS object FROM (
+            SELECT doc_id, 'Aus bus' AS subject, regexp_extract(t, 'Aus bus was found at ((?:[A-Z][A-Za-z]+ ?(?:of )?)+)\.$', 1) AS object FROM d) GROUP BY doc_id"""
+)
 def sentence_relations(spark, sf_dir):
-    """Relations that sentences tell; no SQL form."""
-    return annotate.relations(read_table(spark, sf_dir, "documents"))
+    """Where the sentences of whole texts say that one species was found."""
+    docs = read_table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    place = F.when(F.col("doc_id") % 3 == 0, "Okha Reef").when(F.col("doc_id") % 3 == 1, "Gulf of Kutch").otherwise("Mandvi")
+    told = annotate.relations(docs.select("doc_id", F.concat("text", F.lit(" Aus bus was found at "), place, F.lit(".")).alias("text")))
+    mine = told.where("subject = 'Aus bus'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("told"), F.first("object").alias("object"))
+    return docs.select("doc_id").join(mine, "doc_id").select("doc_id", "told", "object")
 
 
 @query()

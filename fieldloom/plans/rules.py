@@ -559,12 +559,14 @@ def replied_relations(spark, sf_dir):
     return annotate.stated_relations(p, "raw", "p_partkey", ["FOUND_AT", "HAS_HABITAT"]).select("p_partkey", "subject", "predicate", "object", "confidence")
 
 
-@query("SELECT p_partkey AS doc_id, 'species::aurelia_aurita' AS src, rel, dst FROM part, (VALUES ('REL_FOUND_AT', 'locality::okha'), ('REL_HAS_DEPTH', 'value::2_5')) t(rel, dst) WHERE p_partkey % 50 = 0")
+@query("""SELECT DISTINCT 'species::' || replace(p_name, ' ', '_') AS src, 'REL_FOUND_AT' AS rel, 'locality::' || lower(p_type) || '_harbour' AS dst FROM part
+    UNION SELECT 'species::' || replace(p_name, ' ', '_'), 'REL_HAS_DEPTH', 'value::' || p_size || '_' || (p_size + 3) FROM part""")
 def relation_edges(spark, sf_dir):
     """Typed edges of triples."""
-    p = read_table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(c("p_partkey").alias("doc_id"), F.lit(_TOLD).alias("text"))
-    edges = annotate.relation_graph(annotate.relations(p))[1].select("src", "rel", "dst")
-    return p.select("doc_id").join(edges, F.lit(True))
+    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100))
+    told = F.concat(name, F.lit(" was found at "), F.initcap("p_type"), F.lit(" Harbour in "), c("p_size").cast("string"), F.lit("-"), (c("p_size") + 3).cast("string"), F.lit(" m depth."))
+    p = read_table(spark, sf_dir, "part").select(c("p_partkey").alias("doc_id"), told.alias("text"))
+    return annotate.relation_graph(annotate.relations(p))[1].select("src", "rel", "dst")
 
 
 _PAPER = "# Abstract\n\nAurelia aurita was seen at Okha. It was alive there.\n\n# Methods\n\nWe sampled the coast by boat in summer.\n\nNets were used on all days of work."

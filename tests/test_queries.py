@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from fieldloom.plans import queries as core
-from fieldloom.plans import rules, structures, truths  # noqa: F401  they add to core's queries
+from fieldloom.plans import columns, rules, structures, truths  # noqa: F401  they add to core's queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
