@@ -97,7 +97,9 @@ def species_checklist(spark, sf_dir):
 )
 def flagship_checklist(spark, sf_dir):
     """Scan, join, dedup stages 1 to 3, checklist."""
-    records = dedup.suppress_regional(_deduped(spark, sf_dir))
+    # written once: both sides of the next stage's join read it, and neither runs the dedup again
+    kept = _deduped(spark, sf_dir).select("validName", "recordedName", "verbatimLocality", "family_", *SEQ)
+    records = dedup.suppress_regional(Workspace(spark, "flagship").save(kept, "kept"))
     atoms = records.select(F.col("validName").alias("valid_name"), F.col("verbatimLocality").alias("locality"), F.col("evidence").alias("confidence"), "family_", *[c for c in SEQ if c != "evidence"])
     return summaries.checklist(atoms, ["family_"], F.struct("doc_id", "line"))
 
