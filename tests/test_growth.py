@@ -55,3 +55,64 @@ def test_pairs_are_counted_once_for_both_ways(spark):
     assert whole == {(1, 2, 2), (2, 1, 2), (2, 3, 1), (3, 2, 1), (1, 3, 1), (3, 1, 1)}
     one = graph.co_occurrences_of(found, spark.createDataFrame([(2,)], "item long"), "item", "place")
     assert {tuple(r) for r in one.collect()} == {r for r in whole if r[0] == 2}
+
+
+class Store:
+    """A state variable that counts what it is asked and told."""
+
+    def __init__(self, value=None):
+        self.value, self.calls = value, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "exists":
+                return self.value is not None
+            if name == "get":
+                return iter(self.value) if isinstance(self.value, list) else self.value
+            if name in ("put", "update"):
+                self.value = args[0]
+            elif name == "clear":
+                self.value = None
+            elif name == "appendValue":
+                self.value = (self.value or []) + [args[0]]
+            elif name == "listTimers":
+                return iter(())
+
+        return call
+
+
+def test_a_buffer_asks_the_state_store_as_often_however_many_rows():
+    import pandas as pd
+
+    from fieldloom.streaming.stateful import Buffer
+
+    def run(n, held=None, texts=None):
+        buffer = Buffer(3, 1 << 40, 3_600_000)
+        buffer.handle, buffer.texts, buffer.held = Store(), Store(texts), Store(held)
+        rows = pd.DataFrame({"at": pd.Timestamp("2024-01-01") + pd.to_timedelta(range(n), unit="min"), "seq": range(n), "text": [f"t{i}" for i in range(n)]})
+        out = list(buffer.handleInputRows(("k",), [rows], None))
+        return out, buffer.texts.calls + buffer.held.calls + buffer.handle.calls, buffer
+
+    few, many = run(2), run(200)
+    assert many[1] <= few[1] + 1 and len(many[0]) == 1
+    got = many[0][0]
+    assert list(got["flush"]) == list(range(66)) and [t for x in got["texts"] for t in x] == [f"t{i}" for i in range(198)]
+    assert many[2].texts.value == [("t198",), ("t199",)] and many[2].held.value[0] == 2
+    # what was held comes first
+    start = pd.Timestamp("2023-12-31 23:59")
+    out, _, buffer = run(2, (2, 2, start, start, 5), [("a",), ("b",)])
+    assert list(out[0]["texts"]) == [["a", "b", "t0"]] and list(out[0]["flush"]) == [5] and buffer.texts.value == [("t1",)]
+
+
+def test_dedup_sends_what_orders_once(spark):
+    from fieldloom.operators import dedup
+
+    rows = [("A b", "Spot", "Primary", 1, 2, 5.0, "x"), ("a b", "spot", "Secondary", 1, 1, 9.0, "y"), ("A b", "Spot", "Primary", 2, 1, 7.0, "z"), ("A b", "Spot", "Primary", 3, None, 7.0, "w"), ("C d", None, None, 1, 1, None, "v")]
+    df = spark.createDataFrame(rows, "validName string, verbatimLocality string, occurrenceType string, doc_id long, line long, evidence double, more string").withColumn("recordedName", graph.F.col("validName"))
+    best = dedup.dedup_records(df, ["doc_id", "line"], graph.F.col("evidence"))
+    assert "min_by" not in plan(best) and len(re.findall(r"functions=\[partial_min\(struct\(", plan(best))) == 1
+    assert best.columns == df.columns and {r["more"] for r in best.collect()} == {"z", "v"}
+    # rows with a map have no order of their own
+    mapped = df.withColumn("m", graph.F.create_map("more", "doc_id"))
+    assert {r["more"] for r in dedup.dedup_records(mapped, ["doc_id", "line"], graph.F.col("evidence")).collect()} == {"z", "v"}
