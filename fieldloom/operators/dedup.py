@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from fieldloom.functions import keys, names, places
 from fieldloom.functions.names import blank
@@ -32,9 +33,22 @@ def dedup_records(df: DataFrame, seq: list[str], evidence: Column | None = None)
     """
     name = record_name()
     length = evidence if evidence is not None else F.length(F.coalesce(F.col("rawTextEvidence"), F.lit("")))
-    order = F.struct(names.type_rank("occurrenceType").alias("t"), (-length).alias("e"), *[F.col(c) for c in seq])
     named = df.where(name.isNotNull() & ~names.is_placeholder(name))
-    return best_per_key(named, [names.name_key(name), places.locality_key("verbatimLocality")], order)
+    key = [names.name_key(name), places.locality_key("verbatimLocality")]
+    rest = [c for c in df.columns if c not in seq]
+    if len(set(seq)) < len(seq) or any(_unordered(df.schema[c].dataType) for c in rest):
+        return best_per_key(named, key, F.struct(names.type_rank("occurrenceType").alias("t"), (-length).alias("e"), *[F.col(c) for c in seq]))
+    # one struct is order and row, so that what orders is not sent a second time; rows that tie go by the rest
+    row = F.struct(names.type_rank("occurrenceType").alias("__t"), (-length).alias("__e"), *[F.col(c) for c in seq], *[F.col(f"`{c}`") for c in rest])
+    best = named.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(key)]).agg(F.min(row).alias("__row"))
+    return best.select(*[F.col("__row")[c].alias(c) for c in df.columns])
+
+
+def _unordered(kind: DataType) -> bool:
+    """Whether values of a type cannot be put in order: maps and variants, also within others."""
+    if isinstance(kind, StructType):
+        return any(_unordered(f.dataType) for f in kind.fields)
+    return _unordered(kind.elementType) if isinstance(kind, ArrayType) else isinstance(kind, (MapType, VariantType))
 
 
 def suppress_regional(df: DataFrame, strict: bool = False) -> DataFrame:

@@ -44,14 +44,12 @@ _DEDUP_SQL = f"""best AS (
 _KEPT = ["validName", "verbatimLocality", "occurrenceType", "doc_id", "line", "evidence"]
 
 
-def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.dedup_records(occurrence_view(spark, sf_dir), SEQ, F.col("evidence"))
-
-
 @query(occ_sql(f"SELECT {', '.join(_KEPT)} FROM best", _DEDUP_SQL))
 def dedup_primary(spark, sf_dir):
     """Dedup stages 1 and 2: best type, then most evidence, then first."""
-    return _deduped(spark, sf_dir).select(*_KEPT)
+    # only what orders, keys or is kept is sent
+    occ = occurrence_view(spark, sf_dir).select(*dict.fromkeys([*_KEPT, "recordedName", *SEQ]))
+    return dedup.dedup_records(occ, SEQ, F.col("evidence")).select(*_KEPT)
 
 
 _REGION = "CASE WHEN part % 3 = 0 THEN 'India' ELSE verbatimLocality END"
@@ -98,7 +96,8 @@ def species_checklist(spark, sf_dir):
 def flagship_checklist(spark, sf_dir):
     """Scan, join, dedup stages 1 to 3, checklist."""
     # written once: both sides of the next stage's join read it, and neither runs the dedup again
-    kept = _deduped(spark, sf_dir).select("validName", "recordedName", "verbatimLocality", "family_", *SEQ)
+    occ = occurrence_view(spark, sf_dir).select("validName", "recordedName", "verbatimLocality", "occurrenceType", "family_", *SEQ)
+    kept = dedup.dedup_records(occ, SEQ, F.col("evidence")).drop("occurrenceType")
     records = dedup.suppress_regional(Workspace(spark, "flagship").save(kept, "kept"))
     atoms = records.select(F.col("validName").alias("valid_name"), F.col("verbatimLocality").alias("locality"), F.col("evidence").alias("confidence"), "family_", *[c for c in SEQ if c != "evidence"])
     return summaries.checklist(atoms, ["family_"], F.struct("doc_id", "line"))
