@@ -19,7 +19,9 @@ def matches(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFr
     """
     hits = F.filter(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0)), lambda x: x != "")
     gaps = F.transform(F.slice(F.split(text_col, pattern, -1), F.lit(1), F.size(hits)), F.length)
-    found = docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.arrays_zip(gaps.alias("gap"), hits.alias("told"))).alias("i", "x")).select(id_col, "i", "x.gap", "x.told")
+    # texts move once, so that neither these windows nor later ones by document move their matches
+    texts = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).repartition(id_col)
+    found = texts.select(id_col, F.posexplode(F.arrays_zip(gaps.alias("gap"), hits.alias("told"))).alias("i", "x")).select(id_col, "i", "x.gap", "x.told")
     so_far = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.length("told")).over(so_far).cast("int")
     return found.select(id_col, stop.alias("stop"), "told").select(id_col, (F.col("stop") - F.length("told")).alias("start"), "stop", "told")
