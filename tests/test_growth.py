@@ -116,3 +116,41 @@ def test_dedup_sends_what_orders_once(spark):
     # rows with a map have no order of their own
     mapped = df.withColumn("m", graph.F.create_map("more", "doc_id"))
     assert {r["more"] for r in dedup.dedup_records(mapped, ["doc_id", "line"], graph.F.col("evidence")).collect()} == {"z", "v"}
+
+
+def test_matches_stay_where_their_text_went(spark):
+    from fieldloom.operators import spans
+
+    docs = spark.createDataFrame([(1, "ab cd  efg"), (2, "x yy"), (3, None), (4, "")], "doc_id long, text string")
+    told = spans.matches(docs, "doc_id", "text", "[a-z]+")
+    pieces = told.select("doc_id", graph.F.col("told").alias("word"), graph.F.lit("L").alias("label"), graph.F.lit(0.5).alias("score"), "start", "stop")
+    merged = spans.merge_subwords(pieces, "doc_id", ["start"])
+    # the one exchange is that of the texts
+    assert shuffles(merged) == 1 and plan(merged).index("Generate") < plan(merged).index("Exchange hashpartitioning")
+    assert {(r["doc_id"], r["word"], r["start"], r["stop"]) for r in merged.collect()} == {(1, "ab cd efg", 0, 10), (2, "x yy", 0, 4)}
+
+
+def test_blocks_are_built_of_asked_terms(spark, monkeypatch):
+    from fieldloom.operators import bounded_recall, retrieval
+    from fieldloom.plans import structures
+    from fieldloom.session import read_table
+
+    seen = {}
+
+    class Enough(Exception):
+        pass
+
+    def stop(index, id_col):
+        seen["index"] = index
+        raise Enough
+
+    monkeypatch.setattr(bounded_recall, "impact_index", stop)
+    sf = "/root/testdata/sf0.001"
+    try:
+        structures.bounded_recall_topk(spark, sf)
+    except Enough:
+        pass
+    asked = {r[0] for r in retrieval.terms(read_table(spark, sf, "benchmark"), "item_id", "text", 1).select("term").distinct().collect()}
+    whole = retrieval.tfidf(read_table(spark, sf, "documents"), "doc_id", "text", grams=1)
+    want = {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in whole.collect() if r["term"] in asked}
+    assert {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in seen["index"].collect()} == want
