@@ -154,3 +154,38 @@ def test_blocks_are_built_of_asked_terms(spark, monkeypatch):
     whole = retrieval.tfidf(read_table(spark, sf, "documents"), "doc_id", "text", grams=1)
     want = {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in whole.collect() if r["term"] in asked}
     assert {(r["doc_id"], r["term"]): round(r["weight"], 9) for r in seen["index"].collect()} == want
+
+
+def test_keys_meet_leaders_not_all_keys(spark, monkeypatch):
+    from fieldloom.operators import similarity
+
+    keys = [f"{w} {i % 10}{i // 10}" for w in ("amber hill", "broad river", "copper mine") for i in range(30)]
+    df = spark.createDataFrame([(i % 2, k) for i in (0, 1) for k in keys], "block int, k string")
+    met, whole = [], similarity.similar_pairs
+    monkeypatch.setattr(similarity, "FIRST_KEYS", 4)
+    monkeypatch.setattr(similarity, "similar_pairs", lambda left, right, *a: met.append(left.count() * right.count()) or whole(left, right, *a))
+    got = {(r["block"], r["k"]): r["leader"] for r in similarity.greedy_clusters(df, ["block"], "k", 88.0, "edit").collect()}
+    # all would be 180 * 180
+    assert sum(met) < 180 * 180 / 4
+
+    def alike(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            d, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                d, row[j] = row[j], min(d + (x != y), row[j] + 1, row[j - 1] + 1)
+        return 100 * (1 - row[-1] / max(len(a), len(b))) > 88
+
+    leaders, want = [], {}
+    for k in sorted(keys):
+        hit = next((x for x in leaders if alike(x, k)), k)
+        leaders += [k] * (hit == k)
+        want |= {(0, k): hit, (1, k): hit}
+    assert got == want
+
+
+def test_numbered_grams(spark):
+    from fieldloom.operators import similarity
+
+    told = spark.createDataFrame([("aaa",), ("",)], "t string").select(similarity.grams_of(graph.F.col("t"), 2).alias("g")).collect()
+    assert sorted(told[0]["g"]) == sorted([" a\n1", "aa\n1", "aa\n2", "a \n1"]) and told[1]["g"] == ["  \n1"]
