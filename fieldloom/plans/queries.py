@@ -663,8 +663,9 @@ _TERM_SQL = """WITH q AS (SELECT doc_id, string_agg(text, '') AS text FROM docum
 )
 def tfidf_recall(spark, sf_dir):
     """Documents recalled for each benchmark text by TF-IDF."""
-    index = retrieval.tfidf(read_table(spark, sf_dir, "documents"), "doc_id", "text", grams=1)
-    return retrieval.recall(index, read_table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", 5, grams=1, places=6).drop("rank")
+    asked = read_table(spark, sf_dir, "benchmark")
+    index = retrieval.tfidf_of(read_table(spark, sf_dir, "documents"), "doc_id", "text", retrieval.terms(asked, "item_id", "text", 1), grams=1)
+    return retrieval.recall(index, asked, "doc_id", "item_id", "text", 5, grams=1, places=6).drop("rank")
 
 
 @query(

@@ -189,3 +189,24 @@ def test_numbered_grams(spark):
 
     told = spark.createDataFrame([("aaa",), ("",)], "t string").select(similarity.grams_of(graph.F.col("t"), 2).alias("g")).collect()
     assert sorted(told[0]["g"]) == sorted([" a\n1", "aa\n1", "aa\n2", "a \n1"]) and told[1]["g"] == ["  \n1"]
+
+
+def test_recall_moves_texts_and_postings_not_pairs(spark):
+    from fieldloom.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "red fox and red hen"), (2, "red hen"), (1, "fox"), (None, "hen"), (3, None), (4, "old owl")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "red hen hen"), (8, "owl and fox")], "item_id long, text string")
+    terms = retrieval.terms(asked, "item_id", "text", 1)
+    whole = retrieval.tfidf(docs, "doc_id", "text", grams=1)
+    key = lambda df: sorted((str(r["doc_id"]), r["term"], round(r["weight"], 9)) for r in df.collect())
+    held = {r["term"] for r in terms.collect()}
+    want = [x for x in key(whole) if x[1] in held]
+    assert key(retrieval.tfidf_of(docs, "doc_id", "text", terms, grams=1)) == want
+    # with hardly a common term all postings meet their term elsewhere, to the same weights
+    common, retrieval.COMMON_TERMS = retrieval.COMMON_TERMS, 1
+    try:
+        assert key(retrieval.tfidf_of(docs, "doc_id", "text", terms, grams=1)) == want
+    finally:
+        retrieval.COMMON_TERMS = common
+    found = retrieval.recall(whole, asked, "doc_id", "item_id", "text", 2, grams=1)
+    assert not re.search(r"Exchange hashpartitioning\(query#\d+L?, doc_id", plan(found)) and found.count() == 4
