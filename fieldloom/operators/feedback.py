@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.names import blank
+from fieldloom.session import Workspace
 
 #: Fewer labelled rows than this train nothing.
 LEAST_ROWS = 50
@@ -85,7 +86,10 @@ def fit_ensemble(rows: DataFrame, vector: str | None = None, least: int = LEAST_
         raise ValueError(f"more than {MOST_LABELS} labels")
     dims = (rows.agg(F.max(F.size(vector))).first()[0] or 0) if vector else 0
     dims = max(dims, 1)
-    data = _with_vector(rows.where("label IS NOT NULL").withColumn("text", F.coalesce("text", F.lit(""))), vector, dims)
+    # every pass of the fit reads them, so what made them runs once
+    work = Workspace(rows.sparkSession, "ensemble")
+    given = rows.where("label IS NOT NULL").select("label", F.coalesce("text", F.lit("")).alias("text"), *([vector] if vector else []))
+    data = _with_vector(work.save(given, "rows"), vector, dims)
     steps = [StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep"), RegexTokenizer(inputCol="text", outputCol="__w", pattern=r"\W+", minTokenLength=2)]
     steps += [CountVectorizer(inputCol="__w", outputCol="__tf", vocabSize=ENSEMBLE_WORDS), IDF(inputCol="__tf", outputCol="__x"), VectorAssembler(inputCols=["__x", "__v"], outputCol="__f")]
     steps += [RandomForestClassifier(featuresCol="__f", labelCol="__y", probabilityCol="__forest", rawPredictionCol="__fr", predictionCol="__fp", numTrees=trees, seed=seed)]
@@ -105,6 +109,7 @@ def fit_ensemble(rows: DataFrame, vector: str | None = None, least: int = LEAST_
             scale, shift = float(curve.coefficients[0]), float(curve.intercept)
         boosted.append((model, scale, shift))
     told.unpersist()
+    work.clear()
     return Ensemble(labels, forest, boosted, dims)
 
 

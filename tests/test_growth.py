@@ -210,3 +210,29 @@ def test_recall_moves_texts_and_postings_not_pairs(spark):
         retrieval.COMMON_TERMS = common
     found = retrieval.recall(whole, asked, "doc_id", "item_id", "text", 2, grams=1)
     assert not re.search(r"Exchange hashpartitioning\(query#\d+L?, doc_id", plan(found)) and found.count() == 4
+
+
+def test_an_ensemble_is_fitted_to_written_rows(spark, monkeypatch):
+    from fieldloom.operators import feedback
+
+    seen = {}
+
+    class Enough(Exception):
+        pass
+
+    class Stop:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, data):
+            seen["data"] = data
+            raise Enough
+
+    monkeypatch.setattr(feedback, "Pipeline", Stop)
+    rows = spark.range(60).selectExpr("id", "concat('w', id) AS text", "if(id % 2 = 0, 'a', 'b') AS label")
+    joined = rows.join(spark.range(30).selectExpr("id", "array(1.0D, 2.0D) AS v"), "id", "left")
+    try:
+        feedback.fit_ensemble(joined, "v")
+    except Enough:
+        pass
+    assert "Join" not in plan(seen["data"]) and seen["data"].count() == 60
