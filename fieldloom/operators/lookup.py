@@ -90,16 +90,18 @@ def place_index(table: DataFrame, order: list[str]) -> DataFrame:
 def match_places(queries: DataFrame, query: str, index: DataFrame, fuzzy: float = 80.0, fuzzy_short: float = 92.0) -> DataFrame:
     """One row per distinct query: place, codes and coordinates, match_type and score; nulls if nothing matches.
 
-    Each stage is written, so that it runs once, over what the one before missed: exact (100), canonical (95),
+    The index is written, so that its keys are worked out once a place, and each stage, so that it runs once, over what the one before missed: exact (100), canonical (95),
     fuzzy on canonical keys (its score; keys of up to four letters must be more
     alike), phonetic (75), postal code in the query (90).
     """
     fields = ["place_name", "postal_code", "state_name", "county_name", "latitude", "longitude"]
+    work = Workspace(queries.sparkSession, "places")
+    # read from a lazy index, a key's filter would work the key out for every row that the index was grouped from
+    index = work.save(index.select(*fields, "norm_key", "canon_key", "sound_key", "__order"), "index")
     one = lambda key, pick=F.min_by: index.where(F.col(key) != "").groupBy(key).agg(pick(F.struct(*fields), F.col("__order")).alias("hit"))
-    by_canon = one("canon_key")
+    by_canon = work.save(one("canon_key"), "by_canon")
     left = queries.select(F.col(query).alias("query")).where("query IS NOT NULL").distinct()
     left = left.withColumns({"norm_key": places.normal_place("query"), "canon_key": places.canonical_place("query"), "sound_key": places.phonetic_place("query")})
-    work = Workspace(queries.sparkSession, "places")
     left, parts = work.save(left, "asked"), []
 
     def stage(name: str, hits: DataFrame):

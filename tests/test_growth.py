@@ -236,3 +236,19 @@ def test_an_ensemble_is_fitted_to_written_rows(spark, monkeypatch):
     except Enough:
         pass
     assert "Join" not in plan(seen["data"]) and seen["data"].count() == 60
+
+
+def test_place_keys_are_worked_out_once_a_place(spark, monkeypatch):
+    from fieldloom.operators import lookup
+    from fieldloom.session import Workspace
+
+    plans, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(self, df, *a))
+    rows = spark.createDataFrame([(i, f"{w} hill") for i, w in enumerate(["Amber", "Broad", "Copper"] * 40)], "k long, name string")
+    table = rows.groupBy("name").agg(graph.F.min("k").alias("k")).selectExpr("name AS place_name", "cast(100000 + k AS string) AS postal_code", "'S' AS state_name", "'C' AS county_name", "1.0D AS latitude", "2.0D AS longitude")
+    asked = spark.createDataFrame([("amber hill",), ("Aamber hil",), ("xCopper hill",), ("code 100001",), ("nowhere",)], "q string")
+    found = lookup.match_places(asked, "q", lookup.place_index(table, ["postal_code"]))
+    assert {(r["query"], r["place_name"], r["match_type"]) for r in found.collect()} == {("amber hill", "Amber hill", "exact"), ("Aamber hil", "Amber hill", "canonical"), ("xCopper hill", "Copper hill", "fuzzy"), ("code 100001", "Broad hill", "code"), ("nowhere", None, None)}
+    # a filter on a lazy key goes below the grouping, where it works the key out for each of the 120 rows
+    assert not [line for p in plans for line in p.splitlines() if "Filter" in line and "replace(" in line]
+    assert sum("k#" in p for p in plans) == 1
