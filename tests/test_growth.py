@@ -252,3 +252,35 @@ def test_place_keys_are_worked_out_once_a_place(spark, monkeypatch):
     # a filter on a lazy key goes below the grouping, where it works the key out for each of the 120 rows
     assert not [line for p in plans for line in p.splitlines() if "Filter" in line and "replace(" in line]
     assert sum("k#" in p for p in plans) == 1
+
+
+def test_the_best_is_found_without_scoring_a_whole_family(spark, monkeypatch):
+    from fieldloom.operators import similarity
+
+    family = [f"copper mine{i}" for i in range(100, 300)]
+    asked = [f"x{k}" for k in family] + ["xcooper mines", "kopper mene", "nowhere", "x", None]
+    right = [*family, "kopper mine", "x"]
+    scored, whole = [], similarity.similar_pairs
+
+    def counted(*a):
+        pairs = whole(*a)
+        scored.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(similarity, "similar_pairs", counted)
+    left, told = spark.createDataFrame([(x,) for x in asked], "a string"), spark.createDataFrame([(x,) for x in right], "b string")
+    got = {r["left_key"]: (r["right_key"], round(r["score"], 6)) for r in similarity.best_similar(left, told, "a", "b", 75.0).collect()}
+    # all of at least 75 would be 200 * 200 and more
+    assert sum(scored) < 200 * 200 / 4
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            d = 0
+            for j, y in enumerate(b, 1):
+                d, row[j] = row[j], d + 1 if x == y else max(row[j], row[j - 1])
+        return 200 * row[-1] / (len(a) + len(b))
+
+    best = {a: min((-ratio(a, b), b) for b in right) for a in asked if a}
+    assert got == {a: (b, round(-s, 6)) for a, (s, b) in best.items() if -s >= 75}
+    assert got["xcooper mines"][1] < 87.5 and "nowhere" not in got
