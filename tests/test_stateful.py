@@ -76,3 +76,25 @@ def test_slices_hold_every_row_once(spark):
     df = spark.createDataFrame(rows, "i int, at timestamp")
     parts = stateful.in_slices(df, "at", 4)
     assert sorted(r["i"] for p in parts for r in p.collect()) == list(range(100))
+
+
+def test_furthest_stages_survive_restarts(spark, tmp_path):
+    rng = random.Random(3)
+    Workspace(spark, "t")
+    at = datetime(2024, 1, 1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["seen", "kept", "saved", "odd", None]), rng.choice([None, at + timedelta(minutes=rng.randint(0, 500))])) for _ in range(90)] + [("c", "odd", None)]
+    stages = ["seen", "kept", "saved"]
+    run(spark, tmp_path, [rows[:40], rows[40:41], rows[41:]], "key string, stage string, at timestamp", lambda s: stateful.furthest_stages(s, stages))
+    got = {r["key"]: tuple(r)[1:] for r in stateful.furthest_table(spark, f"{tmp_path}/checkpoint", stages).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for key in got:
+        own = [r for r in rows if r[0] == key]
+        told, times = [s for s in stages if any(r[1] == s for r in own)], [r[2] for r in own if r[2]]
+        assert got[key] == (told[-1] if told else None, len(own), min(times, default=None), max(times, default=None))
+
+
+def test_stage_query_enters_no_python(spark, monkeypatch):
+    from fieldloom.plans import structures
+
+    monkeypatch.setattr(stateful, "StageMachine", None)
+    assert structures.stage_machine(spark, "/root/testdata/sf0.001").count() > 0
