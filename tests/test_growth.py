@@ -284,3 +284,21 @@ def test_the_best_is_found_without_scoring_a_whole_family(spark, monkeypatch):
     best = {a: min((-ratio(a, b), b) for b in right) for a in asked if a}
     assert got == {a: (b, round(-s, 6)) for a, (s, b) in best.items() if -s >= 75}
     assert got["xcooper mines"][1] < 87.5 and "nowhere" not in got
+
+
+def test_recall_moves_no_weights_but_asked_ones(spark, monkeypatch):
+    from fieldloom.operators import bounded_recall
+    from fieldloom.plans import structures
+
+    class Enough(Exception):
+        pass
+
+    def stop(index, id_col):
+        # lengths by a window over documents would move every weight of every term
+        raise Enough("Window" in index._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(bounded_recall, "impact_index", stop)
+    try:
+        structures.bounded_recall_topk(spark, "/root/testdata/sf0.001")
+    except Enough as e:
+        assert e.args == (False,)
